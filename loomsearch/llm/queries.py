@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op10_minhash_near_dedup import near_duplicates
 from .op3_substring_dedup import remove_repeated_passages
 
 
@@ -20,8 +21,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; similarity 0.85."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    found = [op3_substring_dedup, op10_minhash_near_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
