@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op10_minhash_near_dedup import near_duplicates
+from .op9_best_fit_packing import pack_documents
 from .op3_substring_dedup import remove_repeated_passages
 
 
@@ -26,8 +27,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document, in sequences of 2048 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_substring_dedup, op10_minhash_near_dedup]
+    found = [op3_substring_dedup, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
