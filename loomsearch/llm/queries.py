@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op10_minhash_near_dedup import near_duplicates
+from .op4_benchmark_decontamination import find_contamination
 from .op9_best_fit_packing import pack_documents
 from .op3_substring_dedup import remove_repeated_passages
 
@@ -32,10 +33,48 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of 10-word windows of all benchmark items in every document."""
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_substring_dedup, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op3_substring_dedup, op4_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
+#: A-Z in lower case, as the operators do it, in SQL.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM w WHERE len(words) >= 13),
+g AS (SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS grams FROM s),
+f AS (SELECT grams, min(doc_id) AS least FROM g GROUP BY grams),
+r AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS place FROM g JOIN f USING (grams) WHERE least < doc_id),
+p AS (SELECT doc_id, list(place) AS places FROM r GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+  CASE WHEN places IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(places, i)), lambda i: words[i]) END AS kept
+  FROM w LEFT JOIN p USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+OP4_SQL = rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+bg AS (SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[pos:pos + least(10, len(words)) - 1], ' ') AS grams
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS pos FROM bw WHERE len(words) > 0)),
+ns AS (SELECT DISTINCT n FROM bg),
+dg AS (SELECT doc_id, n, pos, array_to_string(words[pos:pos + n - 1], ' ') AS grams
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM dw CROSS JOIN ns WHERE len(words) >= n)),
+h AS (SELECT doc_id, item_id, pos, n FROM dg JOIN bg USING (n, grams)),
+c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS place FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
