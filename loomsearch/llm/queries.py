@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
 from .op9_best_fit_packing import pack_documents
+from .op2_quality_rules import line_quality
 from .op3_substring_dedup import remove_repeated_passages
 
 
@@ -17,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and the verdict of the line rules for every document."""
+    judged = line_quality(_table(spark, sf_dir, "documents"))
+    return judged.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; 13-word windows."""
     cut = remove_repeated_passages(_table(spark, sf_dir, "documents"))
@@ -40,7 +47,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_substring_dedup, op4_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
