@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
+from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
 from .op2_quality_rules import line_quality
 from .op3_substring_dedup import remove_repeated_passages
@@ -35,6 +36,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per candidate of every document, with the forest's verdict."""
+    found = scan(_table(spark, sf_dir, "documents")).select("doc.doc_id", F.posexplode("findings").alias("finding", "f"))
+    return found.select("doc_id", "finding", F.col("f.word").alias("word"), F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"), F.col("f.score").alias("score"), F.col("f.is_secret").alias("is_secret"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of every document, in sequences of 2048 tokens."""
     return pack_documents(_table(spark, sf_dir, "documents"))
@@ -47,7 +54,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
