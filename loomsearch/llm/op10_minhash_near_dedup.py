@@ -13,12 +13,19 @@ by leaving out each component of a chunk in turn: pairs within the distance shar
 least one of the 32 keys, without exception.
 
 Keys that several classes share are confirmed on the full sets, in three passes that
-together settle every pair in the bucket without listing the pairs of a large group:
-each member against the smallest of its key; then, in keys whose members are not yet
-connected, against a member picked by a hash of the key, which differs from key to
-key; last, what is still apart from the rest of its key against all members of that
-key within the signature distance. Pairs that are connected already are not compared,
-for they cannot change a class.
+together settle every pair of a key without listing the pairs of a large group:
+
+1. Every member against the key's hub, the member that shares most keys with others.
+2. In keys whose members are not yet connected: every member against the hub of what
+   is apart from the first hub.
+3. What is still apart. Let h be the hub and n its size, and for a text x let a(x) and
+   d(x) be the numbers of elements that h lacks and that x lacks. For a pair u, v with
+   J(u, h) under the threshold t, J(u, v) reaches t only if their differences from h
+   agree in at least (d(u) + d(v) + t (a(u) + a(v)) - (1 - t) n) / (1 + t) elements.
+   So with both differences in one order, what h lacks first, they share an element
+   after which either has that many left. Only such pairs are confirmed.
+
+Pairs that are connected already are not compared, for they cannot change a class.
 """
 
 from __future__ import annotations
@@ -135,35 +142,52 @@ def _shingles(text: str, n: int) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(n)), strict=False))
 
 
+def _pairs_of_sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[frozenset, frozenset]]]]:
+    last, own = None, frozenset()
+    for batch in batches:
+        sets = []
+        for a, x, y in zip(batch["a"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
+            if a != last:
+                last, own = a, _shingles(x.as_py() or "", n)
+            sets.append((own, _shingles(y.as_py() or "", n)))
+        yield batch, sets
+
+
 def _confirm(n: int, percent: int):
-    """Keeps the pairs whose full sets reach the similarity."""
+    """(a, b, linked): whether the full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, frozenset()
-        for batch in batches:
-            a, b, keep = batch["a"].to_pylist(), batch["b"].to_pylist(), []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, own = a[i], _shingles(batch["text_a"][i].as_py() or "", n)
-                other = _shingles(batch["text_b"][i].as_py() or "", n)
-                common = len(own & other)
-                keep.append(100 * common >= percent * (len(own) + len(other) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+        for batch, sets in _pairs_of_sets(n, batches):
+            common = [len(x & y) for x, y in sets]
+            linked = [100 * c >= percent * (len(x) + len(y) - c) for c, (x, y) in zip(common, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
-def _distance(a: str, b: str):
-    """Number of differing 16-bit components of the signatures of two aliases."""
+def _differences(n: int, percent: int):
+    """Elements in which b differs from its hub a, in one order for all b, with the
+    number of elements from there on (rest) and the part of b in the agreement that is
+    needed, times 100 + percent (need). Rows that ask stand for every b, the others
+    for a b that is not linked with the hub; each holds as many elements as can be the
+    first that two texts share."""
+    whole = 100 + percent
 
-    def lane(name: str):
-        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
-        for shift, mask in ((8, 0x00FF00FF00FF00FF), (4, 0x000F000F000F000F), (2, 0x0003000300030003), (1, 0x0001000100010001)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _pairs_of_sets(n, batches):
+            rows: list[tuple] = []
+            for a, b, c, linked, (x, y) in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["c"].to_pylist(), batch["linked"].to_pylist(), sets, strict=True):
+                more, less = y - x, x - y
+                apart = [xxhash.xxh3_64_intdigest(b" ".join(e)) - (1 << 63) for part in (more, less) for e in sorted(part)]
+                size, need = len(apart), 100 * len(less) + percent * len(more)
+                for asks, least in ((True, need),) if linked else ((True, need), (False, need - (100 - percent) * len(x))):
+                    first = size - max(1, -(-least // whole)) + 1
+                    rows += [(a, e, b, c, asks, size - i, least) for i, e in enumerate(apart[:first])]
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["a", "element", "b", "c", "asks", "rest", "need"])
 
-    return sum((lane(s) for s in _SIGNS[1:]), lane(_SIGNS[0]))
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -189,38 +213,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.write(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*same_set).agg(F.min("id").alias("id"), *signs), "classes")
 
     keys = classes.select("id", *_SIGNS).mapInArrow(_keys(chunks), "key long, id long")
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("most")).where("head < most").select("key", "head")
-    members = scratch.write(keys.join(heads, "key"), "members")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = scratch.write(keys.join(shared, "key"), "met")
+    degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = scratch.write(met.select("key", "id").join(degree, "id"), "ranked")
+    most_shared = F.struct("degree", -F.col("id"))
+    hubs = ranked.groupBy("key").agg(F.max_by("id", most_shared).alias("hub"))
+    members = scratch.write(ranked.join(hubs, "key"), "members")
     texts = scratch.write(source.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
 
-    def confirmed(pairs: DataFrame, step: str) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return scratch.write(both.mapInArrow(_confirm(shingle, percent), "a long, b long"), step)
-
-    pairs = scratch.write(members.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs-1")
-    tried, links = pairs, confirmed(pairs, "links-1")
-    found = scratch.write(components(links, scratch, "star-1"), "found-1")
-    for step in (2, 3):
-        labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        pick = F.xxhash64("id", "key")
-        apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min_by("id", pick).alias("pivot"), F.min_by("c", pick).alias("main")).where("least < most")
-        open_keys = scratch.write(labelled.join(apart.select("key", "pivot", "main"), "key"), f"open-{step}")
-        minor = open_keys.where("c != main")
-        if step == 2:
-            pairs = minor.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
-        else:
-            signatures = classes.select("id", *_SIGNS)
-            x = minor.select("key", "id", "c").join(signatures, "id").alias("x")
-            y = open_keys.select("key", "id", "c").join(signatures, "id").alias("y")
-            near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (_distance("x", "y") <= distance)
-            pairs = x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = scratch.write(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(confirmed(pairs, f"links-{step}"))
-        found = scratch.write(components(links, scratch, f"star-{step}"), f"found-{step}")
+        return b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def confirmed(pairs: DataFrame, step: int) -> DataFrame:
+        return scratch.write(with_texts(pairs).mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean"), f"tried-{step}")
+
+    def open_members(found: DataFrame) -> DataFrame:
+        """Members of the keys whose members are not all connected, with component c
+        and that of their hub."""
+        labelled = members.join(found, "id", "left").select("key", "id", "degree", "hub", F.coalesce("component", "id").alias("c"))
+        apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("main"))
+        return labelled.join(apart.where("least < most").select("key", "main"), "key")
+
+    stars = confirmed(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), 1)
+    tried = stars
+    found = scratch.write(components(tried.where("linked"), scratch, "star-1"), "found-1")
+
+    apart = scratch.write(open_members(found), "open-2")
+    second = apart.where("c != main").groupBy("key").agg(F.max_by("id", most_shared).alias("a"), F.max_by("c", most_shared).alias("c_a"))
+    pairs = apart.join(second, "key").where("c != c_a").select("a", F.col("id").alias("b")).distinct()
+    known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-2")
+    if not pairs.isEmpty():
+        tried = tried.unionByName(confirmed(pairs, 2))
+        found = scratch.write(components(tried.where("linked"), scratch, "star-2"), "found-2")
+
+    rest = open_members(found).where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "c").distinct()
+    differences = with_texts(rest.join(stars, ["a", "b"])).mapInArrow(_differences(shingle, percent), "a long, element long, b long, c long, asks boolean, rest long, need long")
+    differences = scratch.write(differences, "differences")
+    x, y = differences.where("asks").alias("x"), differences.where("NOT asks").alias("y")
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.c") != F.col("y.c"))
+    same &= F.col("x.need") + F.col("y.need") <= (100 + percent) * F.least("x.rest", "y.rest")
+    pairs = x.join(y, same).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-3")
+    if not pairs.isEmpty():
+        tried = tried.unionByName(confirmed(pairs, 3))
+        found = scratch.write(components(tried.where("linked"), scratch, "star-3"), "found-3")
 
     named = classes.select(*same_set, F.col("id").alias("first"))
     of_class = named.join(found.withColumnRenamed("id", "first"), "first", "left").select(*same_set, F.coalesce("component", "first").alias("component_id"))
@@ -228,5 +268,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = signed.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     result = grouped.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     result = scratch.write(result, "result")
-    scratch.drop("signed", "classes", "members", "texts", *(f"{x}-{i}" for x in ("pairs", "links", "open", "found") for i in (1, 2, 3)))
+    scratch.drop("signed", "classes", "met", "ranked", "members", "texts", "differences", *(f"{x}-{i}" for x in ("pairs", "tried", "open", "found") for i in (1, 2, 3)))
     return result
