@@ -11,6 +11,7 @@ from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
 from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
+from .op1_toxicity import score_toxicity
 from .op2_quality_rules import line_quality
 from .op3_substring_dedup import remove_repeated_passages
 
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and the verdict of the line rules for every document."""
     judged = line_quality(_table(spark, sf_dir, "documents"))
@@ -54,7 +60,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
