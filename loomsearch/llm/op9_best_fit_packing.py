@@ -31,20 +31,40 @@ from .words import Words, as_array, slices
 
 OPEN_BINS, FAN_IN, SLACK = 4096, 8, 4
 #: Distinct words whose ids a worker remembers; beyond it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+#: ASCII letters and digits are of kind 1, other printable ASCII but the apostrophe of
+#: kind 2: the pre-tokenizer cuts between the two wherever they meet.
+_KINDS = np.array([1 if chr(b).isalnum() else 2 if 0x21 <= b <= 0x7E and b != 0x27 else 0 for b in range(128)] + [0] * 128, np.uint8)
 
 _PIECE = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "bin", "offset")] + [("open", pa.bool_()), ("grp", pa.int64())])
 _DDL = "id long, piece long, start long, length long, ids_crc32 long, bin long, offset long, open boolean, grp long"
 
 
 class TokenIds:
-    """Token ids of texts. The pre-tokenizer never joins across ASCII white space, so
-    each distinct run of other bytes is encoded once and its ids are gathered."""
+    """Token ids of texts. The pre-tokenizer never joins across ASCII white space, nor
+    an ASCII letter or digit with an ASCII mark, and ignores the case of A-Z; so each
+    distinct run of bytes between such places is encoded once, in lower case, and its
+    ids are gathered. Where the name of a special token stands in a text, runs are cut
+    at white space only and keep their case."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
+    def _words(self, texts: pa.Array) -> Words:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        # A capital before a byte of another script stays, as the two may be composed.
+        upper = (data >= 65) & (data <= 90)
+        upper[:-1] &= data[1:] < 128
+        low = data + (upper * np.uint8(32))
+        plain = low.tobytes()
+        if any(name in plain.lower() for name in self.special):
+            return Words(texts)
+        return Words(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(plain)]), kinds=_KINDS)
+
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
@@ -61,7 +81,7 @@ class TokenIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and the end)."""
-        words = Words(texts)
+        words = self._words(texts)
         fresh = [w for w in words.vocabulary if w not in self.number]
         if len(self.number) + len(fresh) > REMEMBERED:
             self.forget()

@@ -72,10 +72,11 @@ class Words:
     """The words of a run of texts.
 
     codes: number of each word in `vocabulary`; first: for text i the words
-    first[i]:first[i+1]; lower: A-Z were lower-cased before splitting.
+    first[i]:first[i+1]; lower: A-Z were lower-cased before splitting; kinds: a small
+    number for each byte, with words also cut between neighbours of kinds 1 and 2.
     """
 
-    def __init__(self, texts: pa.Array, keep: np.ndarray = SPACED, lower: bool = False):
+    def __init__(self, texts: pa.Array, keep: np.ndarray = SPACED, lower: bool = False, kinds: np.ndarray | None = None):
         offsets = _offsets(texts)
         buffer = texts.buffers()[2]
         if buffer is None or offsets[-1] == offsets[0]:
@@ -90,7 +91,11 @@ class Words:
         before = np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
         before[bounds[:-1][bounds[:-1] < len(data)]] = False
-        starts = np.flatnonzero(inside & ~before)
+        begins = inside & ~before
+        if kinds is not None:
+            own = kinds[data]
+            begins[1:] |= own[1:] + own[:-1] == 3
+        starts = np.flatnonzero(begins)
         self.first = np.searchsorted(starts, bounds)
         # A word ends where the bytes kept so far reach the next word's start.
         kept = np.cumsum(inside)
