@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
+from .op7_sharding import assign_shards
 from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
 from .op1_toxicity import score_toxicity
@@ -42,6 +43,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of nearly equal bytes."""
+    dealt = assign_shards(_table(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate of every document, with the forest's verdict."""
     found = scan(_table(spark, sf_dir, "documents")).select("doc.doc_id", F.posexplode("findings").alias("finding", "f"))
@@ -60,7 +67,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op7_sharding, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
