@@ -111,7 +111,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
     large = groups.select("key_a", "key_b", F.ceil(share).cast("int").alias("parts")).where("parts > 1")
     part = F.coalesce(F.pmod(F.xxhash64("id", "size"), F.col("parts")), F.lit(0)).cast("int")
     parted = rows.join(F.broadcast(large), ["key_a", "key_b"], "left").withColumn("part", part).drop("parts")
-    cells = min(MOST_CELLS, max(1, totals["n"] // GROUPS_PER_CELL + 1))
+    cells = min(MOST_CELLS, max(16, totals["n"] // GROUPS_PER_CELL + 1))
     units = parted.groupBy("key_a", "key_b", "part").agg(*sums).withColumn("cell", F.pmod(F.xxhash64("key_a", "part"), F.lit(cells)))
     binned = scratch.write(units.groupBy("cell").applyInArrow(_place_cell, "key_a long, key_b long, part int, bytes long, tokens long, rows long, cell long, bin long"), "binned")
     bins = binned.groupBy("cell", "bin").agg(*[F.sum(c).alias(c) for c in _SIZES]).orderBy("cell", "bin").toPandas()
