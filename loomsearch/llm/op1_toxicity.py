@@ -35,7 +35,7 @@ _BLANK = np.arange(128, dtype=np.uint32)
 _BLANK[[9, 10, 11, 12, 13]] = 32
 
 
-def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ngrams(texts: list[str], lengths: tuple[int, ...] = LENGTHS, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length the table place of every n-gram, and the text it is in. Case
     and the kind of white space are ignored; a text stands between two spaces."""
     codes = np.frombuffer("".join(f" {t.lower()} \0" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -50,15 +50,15 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     rolled = codes.copy()
     stop = np.repeat(ends, np.diff(ends, prepend=-1))
     place = np.arange(len(codes))
-    for n in range(2, max(LENGTHS) + 1):
+    for n in range(2, max(lengths) + 1):
         if len(codes) < n:
             return
         rolled = rolled[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
-        if n in LENGTHS:
+        if n in lengths:
             hashed = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             hashed = (hashed ^ (hashed >> np.uint32(12))) * np.uint32(0x297A2D39)
             whole = place[: len(rolled)] + n <= stop[: len(rolled)]
-            yield (hashed >> np.uint32(32 - BITS))[whole], owner[: len(rolled)][whole]
+            yield (hashed >> np.uint32(32 - bits))[whole], owner[: len(rolled)][whole]
 
 
 def present(texts: list[str], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

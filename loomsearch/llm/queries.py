@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
+from .op5_language_id import identify_languages
 from .op7_sharding import assign_shards
 from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
@@ -43,6 +44,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; texts of known language are those of documents."""
+    return identify_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards of nearly equal bytes."""
     dealt = assign_shards(_table(spark, sf_dir, "documents"))
@@ -67,7 +73,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op7_sharding, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op5_language_id, op7_sharding, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
