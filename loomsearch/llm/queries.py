@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
 from .op5_language_id import identify_languages
+from .op6_chat_formatting import format_chats
 from .op7_sharding import assign_shards
 from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
@@ -49,6 +50,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message, tool call and tool result of all conversations as JSON."""
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards of nearly equal bytes."""
     dealt = assign_shards(_table(spark, sf_dir, "documents"))
@@ -73,7 +79,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op5_language_id, op7_sharding, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
+    found = [op1_toxicity, op2_quality_rules, op3_substring_dedup, op4_benchmark_decontamination, op5_language_id, op6_chat_formatting, op7_sharding, op8_secret_scan, op9_best_fit_packing, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -109,5 +115,13 @@ FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+#: The conversations hold no calls, so every message is a row of its own.
+OP6_SQL = """
+SELECT conv_id, turn, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, turn AS order_turn, 0 AS level, 'ok' AS status,
+  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
+FROM conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
+    return {"op6_chat_formatting": OP6_SQL, "op3_substring_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
