@@ -1,0 +1 @@
+"""Hybrid search and retrieval on Spark DataFrames."""
