@@ -42,6 +42,12 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def settled(name: str, value: Column) -> Column:
+    """value under a name, as the output of a generator: filters on it stay above, so
+    the optimizer does not push copies of its expression down."""
+    return F.explode_outer(F.array(value)).alias(name)
+
+
 def repeat_words(words: Column) -> Column:
     """Number of words in 3-word windows that the text has twice or more. Windows are
     compared by a 64-bit hash; the sort runs only where some window repeats."""
@@ -64,7 +70,7 @@ def line_verdict(line: Column) -> Column:
     bare = F.btrim(line, F.lit(BLANKS))
     n = F.size(F.split(bare, SPLIT))
     odd = F.size(F.split(bare, r"\S*[#*$%&|<>{}]+\S*")) - 1
-    ends = F.right(F.rtrim(F.lit("\"'”»)]"), bare), F.lit(1)).isin(".", "!", "?", "…", ":", ";", "。", "！", "？")
+    ends = F.right(F.rtrim(bare, F.lit("\"'”»)]")), F.lit(1)).isin(".", "!", "?", "…", ":", ";", "。", "！", "？")
     fragment = ~ends & (n < FRAGMENT_WORDS)
     shouting = bare.contains("!!") & (F.upper(bare) == bare)
     navigation = odd > SYMBOL_SHARE * n
@@ -101,7 +107,10 @@ def line_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
     lost = F.aggregate("verdicts", F.lit(0), lambda acc, v: acc + F.greatest(-v, F.lit(0))).cast("long")
-    clean = F.concat_ws("\n", F.filter("lines", lambda x, i: F.get("verdicts", i) > 0))
+    pairs = F.filter(F.zip_with("lines", "verdicts", lambda x, v: F.struct(x.alias("line"), v.alias("verdict"))), lambda p: p["verdict"] > 0)
+    clean = F.concat_ws("\n", F.transform(pairs, lambda p: p["line"]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    whole = judged.select("doc", clean.alias("clean_text"), "n_words", (F.col("length") - F.col("blanks")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", lost.alias("n_lost_words"), failed.alias("base_failed"))
-    return whole.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= LOST_SHARE * F.col("n_words")))
+    kept = ~failed & (lost <= LOST_SHARE * F.col("n_words"))
+    word_chars = (F.col("length") - F.col("blanks")).cast("long")
+    figures = F.struct(clean.alias("clean_text"), "n_words", word_chars.alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words", lost.alias("n_lost_words"), failed.alias("base_failed"), kept.alias("kept"))
+    return judged.select("doc", settled("figures", figures)).select("doc", "figures.*")

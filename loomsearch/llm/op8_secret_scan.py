@@ -17,13 +17,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .op2_quality_rules import split_words
+from .op2_quality_rules import settled, split_words
 
 #: A run of 16 key characters or more, one of the first 64 a digit.
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: A value of 8 characters or more, assigned to a telling name within one word or in
 #: the words before.
 ASSIGNED = r"(?i)(?:token|secret|passwd|password|api[_\-]?key|credential)[\"']?\s*[:=]\s*[\"']?([^\s\"'#&$%*<>|]{8,})"
+#: What a text with such an assignment holds in lower case.
+NAMES = ("token", "secret", "passw", "key", "credential")
 TELLING = r"(?i)(token|secret|passw|api[_\-]?key|credential|bearer|auth|private|access)"
 HARMLESS = r"(?i)(commit|sha1|sha256|md5|digest|checksum|hash|etag|uuid|guid|revision|version|build|order|invoice|card|phone|isbn|example|sample|dummy|page|figure)"
 #: Words that make up names, placeholders and paths rather than keys.
@@ -170,21 +172,25 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
     forest = forest or train_forest(labelled_findings(docs.sparkSession))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text.alias("text"))
-    maybe = F.regexp_like("text", F.lit(RUN)) | F.regexp_like("text", F.lit(ASSIGNED))
+    # Two quick searches spare most texts the two patterns.
+    low, named = F.lower("text"), F.lit(False)
+    for name in NAMES:
+        named = named | low.contains(name)
+    maybe = (F.regexp_like("text", F.lit("[0-9]")) & F.regexp_like("text", F.lit(RUN))) | (named & F.regexp_like("text", F.lit(ASSIGNED)))
     split = held.select("doc", F.when(maybe, split_words(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
 
-    def of_word(word: Column, i: Column) -> Column:
+    def of_word(words: Column, word: Column, i: Column) -> Column:
         """The candidates in a word: runs, or where there is none the assigned value."""
-        before = F.concat_ws(" ", F.slice(F.col("words"), F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))))
+        before = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))
         runs = F.regexp_extract_all(word, F.lit(RUN), 0)
         assigned = F.regexp_extract_all(F.concat_ws(" ", before, word), F.lit(ASSIGNED), 1)
         own = F.filter(assigned, lambda v: word.contains(v))
         values = F.when(F.length(word) < 8, F.array().cast("array<string>")).when(F.size(runs) > 0, runs).otherwise(own)
         left = F.concat_ws(" ", before, F.split_part(word, F.get(values, F.lit(0)), F.lit(1)))
-        return F.transform(values, lambda v: F.struct(i.alias("word"), v.alias("value"), left.alias("before"), F.coalesce(F.get(F.col("words"), i + 1), F.lit("")).alias("after")))
+        return F.transform(values, lambda v: F.struct(i.alias("word"), v.alias("value"), left.alias("before"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("after")))
 
-    # Only words long enough are looked at; the others have no candidate.
-    found = split.select("doc", F.flatten(F.transform("words", of_word)).alias("found"))
+    candidates = F.transform(F.array("words"), lambda ws: F.flatten(F.transform(ws, lambda w, i: of_word(ws, w, i))))
+    found = split.select("doc", settled("found", F.get(candidates, F.lit(0))))
 
     def judged(x: Column) -> Column:
         columns = features(x["value"], x["before"], x["after"])
@@ -197,7 +203,7 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
 
         return F.get(F.transform(F.array(wide), vote), F.lit(0))
 
-    return found.select("doc", F.transform("found", judged).alias("findings"))
+    return found.select("doc", settled("findings", F.transform("found", judged)))
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
