@@ -30,8 +30,8 @@ def canonical(json: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A text as a JSON string."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    """A text as a JSON string; null stays null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1))
 
 
 def no_schemas(spark: SparkSession) -> DataFrame:

@@ -107,7 +107,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     groups = scratch.write(rows.groupBy("key_a", "key_b").agg(*sums), "groups")
     totals = groups.agg(*[F.sum(c).alias(c) for c in _SIZES], F.count("*").alias("n")).first()
-    share = F.greatest(F.lit(0.0), *[F.col(c) * float(n_shards) / float(totals[c]) for c in _SIZES if totals[c]])
+    share = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(c) * float(n_shards) / float(totals[c]) for c in _SIZES if totals[c]])
     large = groups.select("key_a", "key_b", F.ceil(share).cast("int").alias("parts")).where("parts > 1")
     part = F.coalesce(F.pmod(F.xxhash64("id", "size"), F.col("parts")), F.lit(0)).cast("int")
     parted = rows.join(F.broadcast(large), ["key_a", "key_b"], "left").withColumn("part", part).drop("parts")
