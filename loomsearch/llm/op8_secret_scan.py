@@ -190,7 +190,7 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
         return F.transform(values, lambda v: F.struct(i.alias("word"), v.alias("value"), left.alias("before"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("after")))
 
     candidates = F.transform(F.array("words"), lambda ws: F.flatten(F.transform(ws, lambda w, i: of_word(ws, w, i))))
-    found = split.select("doc", settled("found", F.get(candidates, F.lit(0))))
+    found = split.select("doc", F.get(candidates, F.lit(0)).alias("found"))
 
     def judged(x: Column) -> Column:
         columns = features(x["value"], x["before"], x["after"])
