@@ -28,10 +28,8 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, k1: float = K1, b: floa
     terms count once each; a query without terms has no rows. allowed(id): only these
     are scored; frequencies and lengths stay those of all documents."""
     terms = queries.select("qid", F.explode(unique_terms(F.col("text"), index.stemming)).alias("term"))
-    # The document frequency of the queries' terms only.
-    wanted = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(df, "term").join(F.broadcast(index.statistics()), how="cross").select("qid", "term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
+    one_row = F.broadcast(index.statistics())
+    weighed = terms.join(index.terms(), "term").join(one_row, how="cross").select("qid", "term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
     postings = index.postings if allowed is None else index.postings.join(allowed, "id", "left_semi")
     hits = postings.join(weighed, "term")
     parts = hits.select("qid", "id", term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), k1, b).alias("w"))

@@ -2,7 +2,9 @@
 
 postings(term, id, tf, dl) with the document's length beside each posting, so scoring
 needs no join with the documents; documents(id, dl) with one row per document, also of
-those without tokens; statistics(n, total_dl, avgdl) with one row.
+those without tokens; terms(term, df); statistics(n, total_dl, avgdl) with one row.
+Terms and statistics follow from the first two and are kept where the index is kept,
+so a search touches the postings of its own terms only.
 """
 
 from __future__ import annotations
@@ -21,22 +23,30 @@ class KeywordIndex:
     postings: DataFrame
     documents: DataFrame
     stemming: bool = True
+    kept_terms: DataFrame | None = None
+    kept_statistics: DataFrame | None = None
+
+    def terms(self) -> DataFrame:
+        """term and df, the number of documents that have it."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df")) if self.kept_terms is None else self.kept_terms
 
     def statistics(self) -> DataFrame:
         """n, total_dl and avgdl of the indexed documents; avgdl 0.0 when empty."""
+        if self.kept_statistics is not None:
+            return self.kept_statistics
         sums = self.documents.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_dl"))
         return sums.withColumn("avgdl", F.when(F.col("n") > 0, F.col("total_dl") / F.col("n")).otherwise(F.lit(0.0)))
 
     def term_statistics(self) -> DataFrame:
         """term, df and idf of every term."""
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        return df.crossJoin(F.broadcast(self.statistics().select("n"))).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
+        one_row = F.broadcast(self.statistics().select("n"))
+        return self.terms().join(one_row, how="cross").select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
     def doc_count(self) -> int:
         return self.documents.count()
 
     def vocab_size(self) -> DataFrame:
-        return self.postings.agg(F.countDistinct("term").alias("vocab_size"))
+        return self.terms().agg(F.count("*").alias("vocab_size"))
 
     def term_freq(self, doc_id, term: str) -> int:
         """Frequency in a document of the first token that `term` is analysed to."""
@@ -63,7 +73,8 @@ class KeywordIndex:
 
     def persist(self) -> KeywordIndex:
         level = StorageLevel.MEMORY_AND_DISK
-        return KeywordIndex(self.postings.persist(level), self.documents.persist(level), self.stemming)
+        kept = KeywordIndex(self.postings.persist(level), self.documents.persist(level), self.stemming)
+        return KeywordIndex(kept.postings, kept.documents, self.stemming, kept.terms().persist(level), kept.statistics().persist(level))
 
 
 def idf(df, n):
