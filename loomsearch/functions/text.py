@@ -8,7 +8,8 @@ does not grow by substitution and predicates on terms stop at the array.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the analysis.
@@ -99,10 +100,31 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
-def tokens(text: Column, stemming: bool = True) -> Column:
-    """The analysed tokens of a text, in order and with repeats; null is empty."""
+def stem_rows(df: DataFrame, word: str, into: str) -> DataFrame:
+    """df with the stem of column `word` as column `into`. Each step is a projection of
+    its own, which compiles to code; the last stands behind a generator, so that
+    predicates on the stem are not pushed through the steps."""
+    step_of = F.col(word)
+    for n, step in enumerate((plural, participle, derived, final)):
+        df = df.withColumn(f"_stem{n}", F.when(F.length(word) > 3, step(step_of)).otherwise(F.col(word)))
+        step_of = F.col(f"_stem{n}")
+    return df.withColumn(into, F.explode_outer(F.array(step_of))).drop(*(f"_stem{n}" for n in range(4)))
+
+
+_built: dict[tuple[int, str, bool], Column] = {}
+
+
+def tokens(text: Column | str, stemming: bool = True) -> Column:
+    """The analysed tokens of a text, in order and with repeats; null is empty. For a
+    column given by its name the expression is built once, as building takes longer
+    than a small query."""
+    if isinstance(text, str):
+        key = (id(SparkContext._jvm), text, stemming)
+        if key not in _built:
+            _built[key] = tokens(F.col(text), stemming)
+        return _built[key]
     return F.transform(raw_tokens(text), stem) if stemming else raw_tokens(text)
 
 
-def unique_terms(text: Column, stemming: bool = True) -> Column:
+def unique_terms(text: Column | str, stemming: bool = True) -> Column:
     return F.array_distinct(tokens(text, stemming))

@@ -27,7 +27,7 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, k1: float = K1, b: floa
     """(qid, id, score) of every document that has a term of the query. A query's
     terms count once each; a query without terms has no rows. allowed(id): only these
     are scored; frequencies and lengths stay those of all documents."""
-    terms = queries.select("qid", F.explode(unique_terms(F.col("text"), index.stemming)).alias("term"))
+    terms = queries.select("qid", F.explode(unique_terms("text", index.stemming)).alias("term"))
     one_row = F.broadcast(index.statistics())
     weighed = terms.join(index.terms(), "term").join(one_row, how="cross").select("qid", "term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
     postings = index.postings if allowed is None else index.postings.join(allowed, "id", "left_semi")

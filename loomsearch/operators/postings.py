@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import stem_rows, tokens
 
 
 @dataclass(frozen=True)
@@ -72,8 +72,11 @@ class KeywordIndex:
         return KeywordIndex(self.postings.join(gone, "id", "left_anti"), self.documents.join(gone, "id", "left_anti"), self.stemming)
 
     def persist(self) -> KeywordIndex:
+        """The index held by the executors. Postings are dealt and sorted by term, so a
+        search moves its few query terms to them and not them to the query."""
         level = StorageLevel.MEMORY_AND_DISK
-        kept = KeywordIndex(self.postings.persist(level), self.documents.persist(level), self.stemming)
+        by_term = self.postings.repartition("term").sortWithinPartitions("term")
+        kept = KeywordIndex(by_term.persist(level), self.documents.persist(level), self.stemming)
         return KeywordIndex(kept.postings, kept.documents, self.stemming, kept.terms().persist(level), kept.statistics().persist(level))
 
 
@@ -92,8 +95,10 @@ def build_index(docs: DataFrame, stemming: bool = True) -> KeywordIndex:
     """Indexes docs(id, text), whose ids are unique. A null text has no tokens; the
     document still counts. The texts are dealt by id once; counting a document's terms
     and the terms of a later join on id then need no further shuffle."""
-    dealt = docs.select("id", "text").repartition("id").select("id", tokens(F.col("text"), stemming).alias("tokens"))
+    dealt = docs.select("id", "text").repartition("id").select("id", tokens("text", stemming=False).alias("tokens"))
     sized = dealt.select("id", "tokens", F.size("tokens").alias("dl"))
-    exploded = sized.select("id", "dl", F.explode("tokens").alias("term"))
+    # From a plain explode the optimizer would infer a filter that analyses texts twice.
+    exploded = sized.select("id", "dl", F.explode_outer("tokens").alias("word")).where("word IS NOT NULL")
+    exploded = stem_rows(exploded, "word", "term") if stemming else exploded.withColumnRenamed("word", "term")
     postings = exploded.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
     return KeywordIndex(postings.select("term", "id", "tf", "dl"), sized.select("id", "dl"), stemming)
