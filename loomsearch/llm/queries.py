@@ -15,7 +15,7 @@ from .op7_sharding import assign_shards
 from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
 from .op1_toxicity import score_toxicity
-from .op2_quality_rules import line_quality
+from .op2_quality_rules import BOILERPLATE, FRAGMENT_WORDS, LOST_SHARE, SYMBOL_SHARE, line_quality
 from .op3_substring_dedup import remove_repeated_passages
 
 
@@ -115,6 +115,39 @@ FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+OP2_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, pos, words[pos] || chr(10) || words[pos + 1] || chr(10) || words[pos + 2] AS grams FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS pos FROM t WHERE len(words) > 2)),
+m AS (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, grams) AS times FROM g) WHERE times > 1),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM m GROUP BY doc_id),
+l AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, lower(line) AS low, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+v AS (SELECT doc_id, line, n,
+  (n < {FRAGMENT_WORDS} AND right(rtrim(bare, '"' || chr(39) || '”»)]'), 1) NOT IN ('.', '!', '?', '…', ':', ';', '。', '！', '？'))
+  OR (contains(bare, '!!') AND upper(bare) = bare)
+  OR len(regexp_extract_all(bare, '[^\x20\x09-\x0D]*[#*$%&|<>{{}}]+[^\x20\x09-\x0D]*')) > {SYMBOL_SHARE}::DOUBLE * n
+  OR {" OR ".join(f"contains(low, '{phrase}')" for phrase in BOILERPLATE)} AS fails FROM l),
+d AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (WHERE fails), 0) AS BIGINT) AS n_lost_words FROM v GROUP BY doc_id),
+b AS (SELECT doc_id, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words FROM t LEFT JOIN r USING (doc_id) LEFT JOIN d USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND n_lost_words <= {LOST_SHARE}::DOUBLE * n_words AS kept FROM f
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + least(5, len(words)) - 1], ' ') || CASE WHEN len(words) < 5 THEN '#' || len(words) ELSE '' END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+k AS MATERIALIZED (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n_shingles + q.n_shingles - common)),
+e AS MATERIALIZED (SELECT x, y FROM k UNION SELECT y, x FROM k),
+reach AS (SELECT x AS doc_id, x AS id FROM e UNION SELECT reach.doc_id, e.y FROM reach JOIN e ON e.x = reach.id),
+m AS (SELECT doc_id, min(id) AS least FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_shingles, 0) AS n_shingles, coalesce(least, w.doc_id) AS component_id, coalesce(least, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 #: The conversations hold no calls, so every message is a row of its own.
 OP6_SQL = """
 SELECT conv_id, turn, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, turn AS order_turn, 0 AS level, 'ok' AS status,
@@ -124,4 +157,4 @@ FROM conversations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op3_substring_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op6_chat_formatting": OP6_SQL, "op10_minhash_near_dedup": OP10_SQL, "op3_substring_dedup": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL}
