@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomsearch.plans import oracle
 
-NAMES = [n for n in entry.oracle_sql() if n != "chunk_small"]
+NAMES = sorted(oracle.oracle_sql())
 
 
 @pytest.fixture(scope="module")
-def oracle(sf_dir):
+def tables(sf_dir):
     db = duckdb.connect()
     for name in os.listdir(sf_dir):
         db.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf_dir}/{name}'")
@@ -21,9 +22,9 @@ def text(value):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_equals_its_sql(spark, sf_dir, oracle, name):
+def test_query_equals_its_sql(spark, sf_dir, tables, name):
     got = entry.queries()[name](spark, sf_dir)
-    want = oracle.execute(entry.oracle_sql()[name])
+    want = tables.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(columns) == sorted(got.columns)
     rows = sorted([text(v) for v in r] for r in want.fetchall())
