@@ -1,9 +1,11 @@
 import json
+import re
 from collections import Counter
 
-from tokenizers import Tokenizer
-
 from . import messy
+from . import test_decontamination as contamination
+from . import test_packing as packing
+from loomsearch.llm.op2_quality_rules import BOILERPLATE
 from loomsearch.llm.op6_chat_formatting import SCHEMA_DDL, format_chats
 from loomsearch.llm.op9_best_fit_packing import pack_documents
 import corpus_pipeline as pipeline
@@ -77,14 +79,39 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
         assert stage[name](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
-def test_whole_run(spark, sf_dir):
-    rows = pipeline.run(spark, sf_dir).collect()
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    coder = Tokenizer.from_file(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    ids = Counter(r.doc_id for r in rows)
-    assert ids and set(ids) < set(docs)
-    lengths = Counter()
-    for r in rows:
-        lengths[r.doc_id] += r.length
-    whole = [i for i in ids if lengths[i] == len(coder.encode(docs[i].text, add_special_tokens=False).ids) + 1]
-    assert len(whole) > 0.8 * len(ids)
+def kept_text(text):
+    """The text that the quality rules leave, or None."""
+    text = text or ""
+    words = messy.words(text)
+    grams = Counter(zip(words, words[1:], words[2:]))
+    repeated = {k + j for k in range(len(words) - 2) for j in range(3) if grams[tuple(words[k : k + 3])] > 1}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return None
+    left, lost = [], 0
+    for line in text.split("\n"):
+        own, bare = messy.words(line), line.strip(" \t\n\x0b\f\r")
+        if not own:
+            continue
+        fragment = len(own) < 8 and bare.rstrip("\"'”»)]")[-1:] not in (".", "!", "?", "…", ":", ";", "。", "！", "？")
+        shouting = "!!" in bare and bare.upper() == bare
+        navigation = sum(any(c in "#*$%&|<>{}" for c in w) for w in own) > 0.2 * len(own)
+        if fragment or shouting or navigation or any(x in line.lower() for x in BOILERPLATE):
+            lost += len(own)
+        else:
+            left.append(line)
+    return "\n".join(left) if lost <= 0.5 * len(words) else None
+
+
+def test_whole_run_matches_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, kept_text(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    docs = [(i, t) for i, t in docs if t is not None]
+    first = messy.classes(docs, 80)
+    docs = [(i, t) for i, t in docs if first[i] == i]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    grams = {tuple(w[k : k + 10]) for _, t in items for w in [contamination.words(t)] for k in range(max(len(w) - 9, 1))}
+    assert all(len(g) == 10 for g in grams)
+    clean = [(i, t) for i, t in docs for w in [contamination.words(t)] if not any(tuple(w[k : k + 10]) in grams for k in range(len(w) - 9))]
+    assert len(clean) < len(docs)
+    safe = [(i, re.sub('(token = ")[0-9a-f]{40}(?=")', r"\1[SECRET]", t)) for i, t in clean]
+    got = pipeline.run(spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == packing.expected(safe, 2048)
