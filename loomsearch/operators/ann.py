@@ -189,8 +189,7 @@ class GraphIndex:
     def search(self, queries: DataFrame, k: int = 10, ef: int | None = None) -> DataFrame:
         """(qid, id, score, rank); the beam has max(ef or ef_search, k) nodes."""
         beam, dim = max(ef or self.ef_search, k), self.dim
-        shards = queries.sparkSession.range(self.shards).withColumnRenamed("id", "shard")
-        asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding")).join(F.broadcast(shards), how="cross")
+        asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.shards - 1).cast("long"))).alias("shard"))
 
         def search_shard(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
             q, v = q.combine_chunks(), v.sort_by("node").combine_chunks()
