@@ -66,18 +66,24 @@ def repeat_words(words: Column) -> Column:
 
 def line_verdict(line: Column) -> Column:
     """Number of words of a line, negative if the line fails a rule."""
-    low = F.lower(line)
     bare = F.btrim(line, F.lit(BLANKS))
-    n = F.size(F.split(bare, SPLIT))
-    odd = F.size(F.split(bare, r"\S*[#*$%&|<>{}]+\S*")) - 1
-    ends = F.right(F.rtrim(bare, F.lit("\"'”»)]")), F.lit(1)).isin(".", "!", "?", "…", ":", ";", "。", "！", "？")
-    fragment = ~ends & (n < FRAGMENT_WORDS)
-    shouting = bare.contains("!!") & (F.upper(bare) == bare)
-    navigation = odd > SYMBOL_SHARE * n
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    return F.when(fragment | shouting | navigation | boilerplate, -n).otherwise(n)
+
+    def judged(n: Column) -> Column:
+        ends = F.right(F.rtrim(bare, F.lit("\"'”»)]")), F.lit(1)).isin(".", "!", "?", "…", ":", ";", "。", "！", "？")
+        fragment = (n < FRAGMENT_WORDS) & ~ends
+        shouting = F.contains(bare, F.lit("!!")) & (F.upper(bare) == bare)
+        # Words are looked at for symbols only in lines that have any.
+        odd = F.size(F.split(bare, r"\S*[#*$%&|<>{}]+\S*")) - 1
+        navigation = F.when(F.regexp_like(bare, F.lit("[#*$%&|<>{}]")), odd > SYMBOL_SHARE * n).otherwise(F.lit(False))
+        return F.when(fragment, -n).when(shouting, -n).when(navigation, -n).when(_bound(F.lower(line), boilerplate), -n).otherwise(n)
+
+    def boilerplate(low: Column) -> Column:
+        found = F.lit(False)
+        for phrase in BOILERPLATE:
+            found = found | F.contains(low, F.lit(phrase))
+        return found
+
+    return _bound(F.size(F.split(bare, SPLIT)), judged)
 
 
 def line_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
