@@ -33,6 +33,8 @@ TRAINING_ROWS = 4_000
 TEMPER, ENOUGH = 0.2, 400
 #: Weight, in pages, of the level above in each smoothed distribution.
 STRENGTH = 5.0
+#: Rows of a table of sums that is broadcast, at most; a row is one number per language.
+SENT_ROWS = 10_000
 
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
 _TAG = re.compile(r"(?s)<[^>]*>")
@@ -145,7 +147,9 @@ def identify_languages(pages: DataFrame, labelled: DataFrame, id_col: str = "pag
     everywhere = F.array(*map(F.lit, share))
     wide = scored
     for by, sums in levels.items():
-        wide = wide.join(sums, by)
+        # Few values: sent to every task, as a value may have most of the pages.
+        # Beyond that the adaptive planner splits the tasks of such values.
+        wide = wide.join(F.broadcast(sums) if sums.count() <= SENT_ROWS else sums, by)
 
     def given_language(counts: Column) -> Column:
         """P(this value | language), with the share of the value among all pages as
