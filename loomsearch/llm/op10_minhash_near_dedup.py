@@ -253,9 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("main"))
         return labelled.join(apart.where("least < most").select("key", "main"), "key")
 
+    # For the passes between, components in parts will do: they only spare comparisons.
     stars = confirmed(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), 1)
     tried = stars
-    found = scratch.write(components(tried.where("linked"), scratch, "star-1"), "found-1")
+    found = scratch.write(components(tried.where("linked"), scratch, "star-1", rounds=1), "found-1")
 
     apart = scratch.write(open_members(found), "open-2")
     second = apart.where("c != main").groupBy("key").agg(F.max_by("id", most_shared).alias("a"), F.max_by("c", most_shared).alias("c_a"))
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-2")
     if not pairs.isEmpty():
         tried = tried.unionByName(confirmed(pairs, 2))
-        found = scratch.write(components(tried.where("linked"), scratch, "star-2"), "found-2")
+        found = scratch.write(components(tried.where("linked"), scratch, "star-2", rounds=1), "found-2")
 
     rest = open_members(found).where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "c").distinct()
     rest = scratch.write(rest.join(stars, ["a", "b"]), "rest")
@@ -279,9 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = x.join(y, same).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-3")
-    if not pairs.isEmpty():
-        tried = tried.unionByName(confirmed(pairs, 3))
-        found = scratch.write(components(tried.where("linked"), scratch, "star-3"), "found-3")
+    tried = tried.unionByName(confirmed(pairs, 3))
+    found = scratch.write(components(tried.where("linked"), scratch, "star-3"), "found-3")
 
     named = classes.select(*same_set, F.col("id").alias("first"))
     of_class = named.join(found.withColumnRenamed("id", "first"), "first", "left").select(*same_set, F.coalesce("component", "first").alias("component_id"))
