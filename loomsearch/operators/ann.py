@@ -6,8 +6,9 @@ the id, so a list may have any number of vectors.
 
 GraphIndex: vectors are dealt by the hash of the id to shards of bounded size, each
 with a proximity graph of its own: every node is joined with a diverse choice of its
-ef_construction nearest, at most 2 m of them, and a query follows the graph from a
-central node with a beam of ef. The best of all shards are merged.
+ef_construction nearest, at most 2 m of them. One node in m also belongs to an upper
+layer, which is searched whole; from its best nodes a query follows the graph with a
+beam of ef. The best of all shards are merged.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .vector_search import best_rows, check_dim, id_type, matrix, unit_rows
 #: Vectors that the centroids are fitted on, and centroids, at most.
 SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
 BLOCK_ROWS, SHARD_ROWS = 50_000, 5_000
+#: Nodes of the upper layer from which a walk sets out.
+ENTRIES = 16
 
 
 def kmeans(rows: np.ndarray, n: int, seed: int, rounds: int = 15) -> np.ndarray:
@@ -81,11 +84,13 @@ class IvfIndex:
     def build(vectors: DataFrame, dim: int, n_lists: int = 64, seed: int = 0) -> IvfIndex:
         """vectors(id, embedding) by list. n_lists is at most MOST_LISTS."""
         check_dim(dim)
-        sample = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
+        n = vectors.count()
+        likely = vectors.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE_ROWS / max(n, 1))))
+        sample = (likely if n > 4 * SAMPLE_ROWS else vectors).orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
         sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
         rows = unit_rows(matrix(sample, dim))
         centres = kmeans(rows, min(n_lists, MOST_LISTS), seed) if len(rows) else np.zeros((1, dim))
-        blocks = int(vectors.count() // len(centres) // BLOCK_ROWS + 1)
+        blocks = int(n // len(centres) // BLOCK_ROWS + 1)
         ddl = f"id {id_type(vectors)}, embedding array<float>, list long"
         source = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
         listed = source.mapInArrow(_near(centres, 1, None), ddl)
@@ -139,10 +144,12 @@ def proximity_graph(rows: np.ndarray, m: int, ef_construction: int) -> list[list
     return out
 
 
-def beam_search(query: np.ndarray, rows: np.ndarray, near: list, entry: int, ef: int) -> list[tuple[float, int]]:
-    """The ef best nodes that a best-first walk from entry meets."""
-    start = float(rows[entry] @ query)
-    seen, open_, best = {entry}, [(-start, entry)], [(start, entry)]
+def beam_search(query: np.ndarray, rows: np.ndarray, near: list, entries: list[tuple[float, int]], ef: int) -> list[tuple[float, int]]:
+    """The ef best nodes that a best-first walk from entries (score, node) meets."""
+    seen, open_ = {node for _, node in entries}, [(-score, node) for score, node in entries]
+    best = heapq.nlargest(ef, entries)
+    heapq.heapify(open_)
+    heapq.heapify(best)
     while open_:
         score, node = heapq.heappop(open_)
         if -score < best[0][0] and len(best) >= ef:
@@ -162,7 +169,7 @@ def beam_search(query: np.ndarray, rows: np.ndarray, near: list, entry: int, ef:
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """nodes: (shard, node, id, embedding, neighbours, entry), embeddings of length one."""
+    """nodes: (shard, node, id, embedding, neighbours, upper), embeddings of length one."""
 
     nodes: DataFrame
     dim: int
@@ -178,12 +185,13 @@ class GraphIndex:
         def build_shard(table: pa.Table) -> pa.Table:
             table = table.sort_by("id").combine_chunks()
             rows = unit_rows(matrix(table["embedding"].chunk(0), dim))
-            entry = int(np.argmax(rows @ rows.mean(axis=0)))
+            upper = np.zeros(len(rows), bool)
+            upper[np.random.default_rng(0).permutation(len(rows))[: len(rows) // m + 1]] = True
             near = proximity_graph(rows, m, ef_construction)
-            return pa.table([table["shard"], pa.array(np.arange(len(rows))), table["id"], pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32())), pa.array(near, pa.list_(pa.int64())), pa.array(np.full(len(rows), entry))], ["shard", "node", "id", "embedding", "neighbours", "entry"])
+            return pa.table([table["shard"], pa.array(np.arange(len(rows))), table["id"], pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32())), pa.array(near, pa.list_(pa.int64())), pa.array(upper)], ["shard", "node", "id", "embedding", "neighbours", "upper"])
 
         dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", F.col("embedding").cast("array<float>").alias("embedding"))
-        ddl = f"shard long, node long, id {kind}, embedding array<float>, neighbours array<long>, entry long"
+        ddl = f"shard long, node long, id {kind}, embedding array<float>, neighbours array<long>, upper boolean"
         return GraphIndex(dealt.groupBy("shard").applyInArrow(build_shard, ddl), dim, ef_search, shards)
 
     def search(self, queries: DataFrame, k: int = 10, ef: int | None = None) -> DataFrame:
@@ -196,9 +204,11 @@ class GraphIndex:
             qids, ids, scores = [], [], []
             if q.num_rows and v.num_rows:
                 rows, near = matrix(v["embedding"].chunk(0), dim), v["neighbours"].to_pylist()
-                entry, names = v["entry"][0].as_py(), v["id"].to_pylist()
+                names, upper = v["id"].to_pylist(), np.flatnonzero(np.asarray(v["upper"].to_pylist(), bool))
                 for qid, x in zip(q["qid"].to_pylist(), unit_rows(matrix(q["embedding"].chunk(0), dim)), strict=True):
-                    for s, j in sorted(beam_search(x, rows, near, entry, beam), reverse=True)[:k]:
+                    above = rows[upper] @ x
+                    entries = [(float(above[i]), int(upper[i])) for i in np.argsort(-above, kind="stable")[:ENTRIES]]
+                    for s, j in sorted(beam_search(x, rows, near, entries, beam), reverse=True)[:k]:
                         qids.append(qid)
                         ids.append(names[j])
                         scores.append(round(s, PLACES))
