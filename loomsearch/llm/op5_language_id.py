@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .op1_toxicity import ngrams
-from .store import Scratch
+from .store import Scratch, hashed_sample
 from .words import as_array, slices
 
 BITS, LENGTHS = 16, (1, 2, 3)
@@ -110,7 +110,7 @@ def _smoothed(counts: Column, above: Column) -> Column:
     return F.zip_with(counts, above, lambda c, p: (F.greatest(c, F.lit(0.0)) + STRENGTH * p) / whole)
 
 
-def identify_languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_languages(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang", label_id_col: str = "doc_id") -> DataFrame:
     """The language of every page, of those that labelled (text, language) holds.
 
     Returns one row per row of pages: id_col, lang, probability, text_lang and
@@ -123,8 +123,10 @@ def identify_languages(pages: DataFrame, labelled: DataFrame, id_col: str = "pag
     play no part and are not returned.
     """
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "language")
-    known = labelled.select(labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sample = scratch.write(known.orderBy(F.xxhash64("text"), "lang").limit(TRAINING_ROWS).repartition(6), "sample")
+    # Copies of a text share a hash, so rows are told apart by their id where they have one.
+    key = labelled[label_id_col] if label_id_col in labelled.columns else F.xxhash64(labelled[text_col])
+    known = labelled.select(key.cast("string").alias("key"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sample = scratch.write(hashed_sample(known, TRAINING_ROWS, "key", "lang").select("text", "lang").repartition(6), "sample")
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     url, markup = F.coalesce(pages[url_col].cast("string"), F.lit("")), F.coalesce(pages[html_col].cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
