@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, hashed_sample
 from .words import Words, as_array, mix, slices, windows
 
 COMPONENTS, LANES = 32, 8
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rest = open_members(found).where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "c").distinct()
     rest = scratch.write(rest.join(stars, ["a", "b"]), "rest")
-    sampled = with_texts(rest.orderBy(F.xxhash64("a", "b")).limit(SAMPLED_PAIRS)).mapInArrow(_all_differences(shingle), "element long")
+    sampled = with_texts(hashed_sample(rest, SAMPLED_PAIRS, "a", "b")).mapInArrow(_all_differences(shingle), "element long")
     counted = sampled.groupBy("element").count().where("count > 1").orderBy(F.desc("count"), "element").limit(FREQUENT)
     frequent = {r["element"]: r["count"] for r in counted.collect()}
     differences = with_texts(rest).mapInArrow(_differences(shingle, percent, frequent), "a long, element long, b long, c long, asks boolean, rest long, need long")
