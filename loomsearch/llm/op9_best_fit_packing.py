@@ -1,35 +1,33 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
-Method: hierarchical residual packing. Each partition tokenises its texts, cuts what
-is longer than a sequence, and packs its pieces best-fit in decreasing order, batch by
-batch into the bins that are open. Bins with hardly any room left are closed and
-written. The underfull bins of eight neighbouring groups then meet as items of a
-further best-fit round, until one group is left; only the last round closes bins that
-still have room.
-
-A group hands on at most OPEN_BINS bins, the emptiest ones, so that no round gathers
-an unbounded group; the fullest of the others are closed as they are, which costs room
-in a sequence and never a token.
+Method: best-fit in decreasing order over the pieces of all partitions at once. Each
+partition tokenises its texts, cuts what is longer than a sequence, and numbers its
+pieces of each length. How many pieces there are of each length is a table no longer
+than a sequence, and decides the packing: pieces of one length are placed together,
+as many to a bin as one after the other would be. The plan says which bin and place
+the nth piece of a length has, and every task looks its pieces up there.
+
+No piece meets others in one task, nothing is left out of the search for a bin, and the
+number of sequences depends on neither the order nor the partitions of the table.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .store import Scratch
 from .words import Words, as_array, slices
 
-OPEN_BINS, FAN_IN, SLACK = 4096, 8, 4
 #: Distinct words whose ids a worker remembers; beyond it starts afresh.
 REMEMBERED = 1_000_000
 
@@ -37,8 +35,11 @@ REMEMBERED = 1_000_000
 #: kind 2: the pre-tokenizer cuts between the two wherever they meet.
 _KINDS = np.array([1 if chr(b).isalnum() else 2 if 0x21 <= b <= 0x7E and b != 0x27 else 0 for b in range(128)] + [0] * 128, np.uint8)
 
-_PIECE = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "bin", "offset")] + [("open", pa.bool_()), ("grp", pa.int64())])
-_DDL = "id long, piece long, start long, length long, ids_crc32 long, bin long, offset long, open boolean, grp long"
+_PIECE = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "grp", "nth")])
+_PLACED = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "bin", "offset")])
+_DDL, _PLACED_DDL = (", ".join(f"{c} long" for c in schema.names) for schema in (_PIECE, _PLACED))
+#: Pieces of one length, at most, as a power of two.
+RANK_BITS = 48
 
 
 class TokenIds:
@@ -99,7 +100,8 @@ class TokenIds:
 
 
 class Bins:
-    """Open bins by the room they have; a bit set finds the tightest fit."""
+    """Open bins by the room they have; a bit set finds the tightest fit. Places one
+    item at a time; plan() does the same for all items of a size."""
 
     def __init__(self, capacity: int):
         self.capacity, self.fill = capacity, {}
@@ -126,69 +128,85 @@ class Bins:
         self._enter(host, at + size)
         return host, at
 
-    def close(self, numbers: set[int]) -> None:
-        for number in numbers:
-            room = self.capacity - self.fill.pop(number)
-            self.by_room[room].remove(number)
-            if not self.by_room[room]:
-                self.rooms &= ~(1 << room)
-
-    def full(self, keep: int) -> set[int]:
-        """Bins with no more room than SLACK, and the fullest of those beyond `keep`."""
-        out = {b for room in range(min(SLACK, self.capacity) + 1) for b in self.by_room[room]}
-        if (extra := len(self.fill) - len(out) - keep) > 0:
-            out.update(heapq.nlargest(extra, (b for b in self.fill if b not in out), key=self.fill.__getitem__))
-        return out
-
-
-def _pack_locally(path: str, capacity: int, end_id: int):
+    def full(self, slack: int) -> set[int]:
+        """Bins with no more room than `slack`."""
+        return {b for room in range(min(slack, self.capacity) + 1) for b in self.by_room[room]}
+
+
+def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit in decreasing order of counts[size] items of each size. Returns rows
+    (size, first, bin, each, offset): from the `first` item of the size on, bins from
+    `bin` on take `each` items one behind the other, from `offset` on.
+
+    An item goes to the tightest bin, which is then the tightest for the next one of
+    its size until that no longer fits; so bins with equal room take equally many."""
+    by_room: dict[int, list[tuple[int, int]]] = defaultdict(list)  # (first bin, bins)
+    rooms, bins, out = 0, 0, []
+
+    def enter(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        if n and room:
+            by_room[room].append((first, n))
+            rooms |= 1 << room
+
+    for size in sorted(counts, reverse=True):
+        at, total = 0, counts[size]
+        while at < total:
+            if fit := rooms >> size:
+                room = size + (fit & -fit).bit_length() - 1
+                first, n = by_room[room].pop()
+                if not by_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, n = capacity, bins, -(-(total - at) // (capacity // size))
+                bins += n
+            each = room // size
+            whole = min(n, (total - at) // each)
+            rest = min(total - at - whole * each, each) if whole < n else 0
+            out.append((size, at, first, each, capacity - room))
+            enter(room - each * size, first, whole)
+            if rest:
+                enter(room - rest * size, first + whole, 1)
+            enter(room, first + whole + bool(rest), n - whole - bool(rest))
+            at += whole * each + rest
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = TaskContext.get().partitionId()
-        encode, bins, fresh = TokenIds(path), Bins(capacity), group << 32
-        held: dict[int, list[tuple]] = {}
-
-        def rows(numbers: set[int], is_open: bool) -> pa.RecordBatch:
-            out = [(*item, b, at, is_open, group) for b in sorted(numbers) for at, item in held.pop(b)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
-
+        group, encode = TaskContext.get().partitionId(), TokenIds(path)
+        seen = [0] * (capacity + 1)
         for batch in batches:
             texts = as_array(batch["text"])
             for a, b in slices(texts, 4 << 20):
                 ids, first = encode(texts.slice(a, b - a))
-                items = []
+                out = []
                 for name, at, end in zip(batch["id"].slice(a, b - a).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                     whole = np.append(ids[at:end], np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(whole), capacity)):
                         part = whole[start : start + capacity]
-                        items.append((name, piece, start, len(part), zlib.crc32(part.tobytes())))
-                items.sort(key=lambda x: -x[3])
-                for item in items:
-                    number, at = bins.place(item[3], fresh)
-                    fresh += number == fresh
-                    held.setdefault(number, []).append((at, item))
-                if done := bins.full(OPEN_BINS):
-                    bins.close(done)
-                    yield rows(done, False)
-        if held:
-            yield rows(set(held), True)
+                        out.append((name, piece, start, len(part), zlib.crc32(part.tobytes()), group, seen[len(part)]))
+                        seen[len(part)] += 1
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
     return run
 
 
-def _merge(capacity: int, last: bool):
-    """Best-fit of one group's underfull bins, the fullest first."""
+def _look_up(rows: np.ndarray):
+    """Puts pieces with a rank among those of their length where the plan says."""
+    size, first, host, each, offset = rows.T
+    order = np.argsort(size << RANK_BITS | first)
+    size, first, host, each, offset = (x[order] for x in (size, first, host, each, offset))
+    begins = size << RANK_BITS | first
 
-    def run(table: pa.Table) -> pa.Table:
-        bin_, length = table["bin"].to_numpy(), table["length"].to_numpy()
-        names, own = np.unique(bin_, return_inverse=True)
-        fills = np.bincount(own, weights=length).astype(np.int64)
-        bins, host, moved = Bins(capacity), np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-        for i in np.argsort(-fills, kind="stable"):
-            host[i], moved[i] = bins.place(int(fills[i]), int(names[i]))
-        closed = set(bins.fill) if last else bins.full(OPEN_BINS)
-        is_open = np.array([h not in closed for h in host.tolist()], bool)
-        new = {"bin": host[own], "offset": table["offset"].to_numpy() + moved[own], "open": is_open[own]}
-        return pa.table([pa.array(new[c]) if c in new else table[c] for c in _PIECE.names], schema=_PIECE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch[c].to_numpy() for c in ("length", "rank"))
+            row = np.searchsorted(begins, length << RANK_BITS | rank, side="right") - 1
+            beyond = rank - first[row]
+            new = {"bin": host[row] + beyond // each[row], "offset": offset[row] + beyond % each[row] * length}
+            yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else batch[c] for c in _PLACED.names], schema=_PLACED)
 
     return run
 
@@ -209,15 +227,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "packing")
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    rounds = [scratch.write(source.mapInArrow(_pack_locally(path, capacity, end_id), _DDL), "round-0")]
-    groups = (rounds[0].agg(F.max("grp")).first()[0] or 0) + 1
-    while True:
-        groups = -(-groups // FAN_IN)
-        items = rounds[-1].where("open").withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
-        rounds.append(scratch.write(items.groupBy("grp").applyInArrow(_merge(capacity, groups == 1), _DDL), f"round-{len(rounds)}"))
-        if groups == 1:
-            break
-    packed = rounds[0].where("NOT open")
-    for more in rounds[1:]:
-        packed = packed.unionByName(more.where("NOT open"))
+    pieces = scratch.write(source.mapInArrow(_tokenise(path, capacity, end_id), _DDL), "pieces")
+    by_group = scratch.write(pieces.groupBy("grp", "length").agg(F.count("*").alias("n")), "counts")
+    counts = {r[0]: r[1] for r in by_group.groupBy("length").agg(F.sum("n")).collect()}
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")
+    ranked = pieces.join(by_group.select("grp", "length", before.alias("before")), ["grp", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    packed = ranked.mapInArrow(_look_up(plan(counts, capacity)), _PLACED_DDL)
     return packed.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from . import messy
-from loomsearch.llm.op9_best_fit_packing import Bins, TokenIds, pack_documents
+from loomsearch.llm.op9_best_fit_packing import Bins, TokenIds, pack_documents, plan
 from loomsearch.llm.words import as_array
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -64,3 +64,35 @@ def test_best_fit_takes_the_tightest_bin():
     assert [bins.place(s, i) for i, s in enumerate((7, 5, 9))] == [(0, 0), (1, 0), (2, 0)]
     assert bins.place(3, 3) == (0, 7) and bins.place(4, 4) == (1, 5) and bins.place(1, 5) == (1, 9)
     assert bins.full(0) >= {0, 1}
+
+
+def test_plan_places_as_one_item_after_the_other_does():
+    rng = random.Random(9)
+    for capacity in (7, 64, 300):
+        for _ in range(40):
+            counts = {s: rng.randint(1, 60) for s in rng.sample(range(1, capacity + 1), rng.randint(1, min(capacity, 25)))}
+            bins, used = Bins(capacity), {}
+            for i, size in enumerate(s for s in sorted(counts, reverse=True) for _ in range(counts[s])):
+                used[bins.place(size, i)[0]] = True
+            rows, filled = plan(counts, capacity).tolist(), {}
+            for size, n in counts.items():
+                own = [r for r in rows if r[0] == size]
+                for k in range(n):
+                    _, first, host, each, offset = max(r for r in own if r[1] <= k)
+                    filled.setdefault(host + (k - first) // each, []).append((offset + (k - first) % each * size, size))
+            for parts in filled.values():
+                ends = [at + size for at, size in sorted(parts)]
+                assert [0, *ends[:-1]] == [at for at, _ in sorted(parts)] and ends[-1] <= capacity
+            assert sorted(sum(s for _, s in x) for x in filled.values()) == sorted(bins.fill.values())
+            assert len(filled) == len(used)
+
+
+@pytest.mark.parametrize("words", [(39, 25), (25, 39)])
+def test_lengths_in_the_order_of_the_table_pair_up(spark, words):
+    # More than 4,096 bins stay open in one partition until their partners come.
+    data = [(i, " ".join(["the"] * words[i // 6000])) for i in range(12000)]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    for parts in (1, 5):
+        got = pack_documents(table.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id"), capacity=66).collect()
+        assert len(got) == 12000 and {r.length for r in got} == {40, 26}
+        assert len({r.sequence_id for r in got}) == 6000
