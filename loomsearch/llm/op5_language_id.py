@@ -1,7 +1,7 @@
 """Language of web pages by Bayesian fusion of four kinds of evidence.
 
 The likelihood of a page's text under each language comes from hashed character
-trigrams, fitted on a bounded sample of labelled texts. The distributions of declared
+trigrams, fitted on a bounded sample of the labelled texts of each language. The distributions of declared
 markup languages and of address suffixes given the language, and the prior of each
 host, come from the pages themselves, by grouped sums of the posteriors that the text
 alone gives. A host's prior is smoothed towards that of its domain, that towards the
@@ -17,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .op1_toxicity import ngrams
-from .store import Scratch, hashed_sample
+from .store import Scratch
 from .words import as_array, slices
 
 BITS, LENGTHS = 16, (1, 2, 3)
-#: Labelled texts that the trigrams are fitted on, at most: those whose id has the
-#: smallest hash.
-TRAINING_ROWS = 4_000
+#: Labelled texts that the trigrams are fitted on, as many of each language as fit but
+#: at least so many, or all it has: those whose id has the smallest hash.
+TRAINING_ROWS, ROWS_PER_LANGUAGE = 4_000, 100
 #: Neighbouring trigrams are not independent: the power of the text's likelihood, and
 #: the number of trigrams beyond which a longer text says no more.
 TEMPER, ENOUGH = 0.2, 400
@@ -45,6 +45,34 @@ def visible_text(markup: str) -> str:
     return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", markup)))
 
 
+def rows_per_language(counts: list[int]) -> int:
+    """The highest number of rows of each language that TRAINING_ROWS has place for."""
+    left = TRAINING_ROWS
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            return max(share, ROWS_PER_LANGUAGE)
+        left -= n
+    return TRAINING_ROWS
+
+
+def training_sample(known: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(sample of known(key, text, lang) with rows of every language, all languages).
+    Of a language with many more rows than wanted only about twice as many are
+    compared, by a threshold on another hash, and at least the row where that is least."""
+    span = 1 << 30
+    by_hash = F.pmod(F.xxhash64(F.lit(17), "key", "lang"), F.lit(span))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(by_hash).alias("least")).collect()
+    if not found:
+        return known.select("text", "lang"), []
+    most = rows_per_language([r["n"] for r in found])
+    below = [(r["lang"], max(r["least"] + 1, span * 2 * most // r["n"]) if r["n"] > 4 * most else span) for r in found]
+    limits = known.sparkSession.createDataFrame(below, "lang string, below long")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key", "lang"), "key"))
+    near = known.join(F.broadcast(limits), "lang").where(by_hash < F.col("below"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= most).select("text", "lang"), sorted(r["lang"] for r in found)
+
+
 def _count(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, number = np.zeros((len(languages), 1 << BITS), np.int64), {x: i for i, x in enumerate(languages)}
@@ -124,10 +152,12 @@ def identify_languages(pages: DataFrame, labelled: DataFrame, id_col: str = "pag
     """
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "language")
     # Copies of a text share a hash, so rows are told apart by their id where they have one.
-    key = labelled[label_id_col] if label_id_col in labelled.columns else F.xxhash64(labelled[text_col])
-    known = labelled.select(key.cast("string").alias("key"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sample = scratch.write(hashed_sample(known, TRAINING_ROWS, "key", "lang").select("text", "lang").repartition(6), "sample")
-    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    key = F.xxhash64(labelled[text_col]).cast("string")
+    if label_id_col in labelled.columns:
+        key = F.coalesce(labelled[label_id_col].cast("string"), key)
+    known = labelled.select(key.alias("key"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sample, languages = training_sample(known)
+    sample = scratch.write(sample.repartition(6), "sample")
     url, markup = F.coalesce(pages[url_col].cast("string"), F.lit("")), F.coalesce(pages[html_col].cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     source = pages.select(

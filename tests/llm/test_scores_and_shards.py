@@ -5,7 +5,7 @@ import numpy as np
 
 from . import messy
 from loomsearch.llm.op1_toxicity import ngrams, present, score_toxicity
-from loomsearch.llm.op5_language_id import identify_languages, visible_text
+from loomsearch.llm.op5_language_id import ROWS_PER_LANGUAGE, TRAINING_ROWS, identify_languages, rows_per_language, visible_text
 from loomsearch.llm.op7_sharding import assign_shards, even_out, place
 
 
@@ -116,3 +116,14 @@ def test_place_balances_all_sizes():
     loads = np.stack([items[bins == b].sum(axis=0) for b in range(4)])
     assert loads.max() <= 20 + 8 and (np.bincount(bins) == 6).all()
     assert (even_out(items, np.zeros(24, int), 4) >= 0).all()
+
+
+def test_rare_languages_are_fitted_whatever_the_number_of_rows(spark):
+    rare = {"fi": "metsä järven rannalla ja talven lumi", "hu": "az erdő mellett egy kis ház állt"}
+    labelled = [(i, f"the house by the river and the hill {i}", "en") for i in range(20000)]
+    labelled += [(50000 + i, f"{text} {i}", lang) for lang, text in rare.items() for i in range(2)]
+    labels = spark.createDataFrame(labelled, "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/", f"<html><body>{t}</body></html>") for i, t in enumerate([*rare.values(), "the house by the river"])], "page_id long, url string, html string")
+    got = {r.page_id: r.text_lang for r in identify_languages(pages, labels).collect()}
+    assert got == {0: "fi", 1: "hu", 2: "en"}
+    assert rows_per_language([20000, 2, 2]) == 3996 and rows_per_language([3, 5]) == TRAINING_ROWS and rows_per_language([9000] * 100) == ROWS_PER_LANGUAGE
