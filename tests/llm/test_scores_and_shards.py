@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from . import messy
 from loomsearch.llm.op1_toxicity import ngrams, present, score_toxicity
-from loomsearch.llm.op5_language_id import ROWS_PER_LANGUAGE, TRAINING_ROWS, identify_languages, rows_per_language, visible_text
+from loomsearch.llm.op5_language_id import ROWS_PER_LANGUAGE, TRAINING_ROWS, declared_language, identify_languages, rows_per_language, visible_text
 from loomsearch.llm.op7_sharding import assign_shards, even_out, place
 
 
@@ -127,3 +128,11 @@ def test_rare_languages_are_fitted_whatever_the_number_of_rows(spark):
     got = {r.page_id: r.text_lang for r in identify_languages(pages, labels).collect()}
     assert got == {0: "fi", 1: "hu", 2: "en"}
     assert rows_per_language([20000, 2, 2]) == 3996 and rows_per_language([3, 5]) == TRAINING_ROWS and rows_per_language([9000] * 100) == ROWS_PER_LANGUAGE
+
+
+def test_language_declared_late_in_the_markup(spark):
+    late = "<!-- " + "licence " * 1000 + "-->"
+    tags = [late + "<html class='a' lang='de-AT'>", late + "<HTML LANG=fr>", "<html class=x>" + late + "<html lang=es>", late + "<html>", "<html " * 3000]
+    rows = spark.createDataFrame(list(enumerate(tags)), "i long, html string")
+    got = rows.select("i", declared_language(F.col("html")).alias("d")).collect()
+    assert [r.d for r in sorted(got)] == ["de", "fr", "es", "", ""]
