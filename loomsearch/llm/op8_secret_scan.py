@@ -23,7 +23,17 @@ from .op2_quality_rules import settled, split_words
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: A value of 8 characters or more, assigned to a telling name within one word or in
 #: the words before.
-ASSIGNED = r"(?i)(?:token|secret|passwd|password|api[_\-]?key|credential)[\"']?\s*[:=]\s*[\"']?([^\s\"'#&$%*<>|]{8,})"
+NAME = r"(?:token|secret|passwd|password|api[_\-]?key|credential)[\"']?"
+VALUE = r"[^\s\"'#&$%*<>|]{8,}"
+ASSIGNED = rf"(?i){NAME}\s*[:=]\s*[\"']?{VALUE}"
+#: The next candidate of a line, behind the text since the one before it. Words are
+#: joined by one blank, so a name stands at most so far away from its value.
+NEXT = rf"(?s)\G(.*?)((?<=(?i:{NAME})\s?[:=]\s?[\"']?){VALUE}|{RUN})"
+NEXT_RUN = rf"(?s)\G(.*?)({RUN})"
+#: A name, and perhaps its sign, at the end of the words before.
+LEAD = rf"(?i)({NAME}(?:\s?[:=]\s?[\"']?)?)$"
+#: What stands between a name and its value.
+LINK = r"^[\"']?\s?[:=]?\s?[\"']?$"
 #: What a text with such an assignment holds in lower case.
 NAMES = ("token", "secret", "passw", "key", "credential")
 TELLING = r"(?i)(token|secret|passw|api[_\-]?key|credential|bearer|auth|private|access)"
@@ -179,15 +189,31 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
     maybe = (F.regexp_like("text", F.lit("[0-9]")) & F.regexp_like("text", F.lit(RUN))) | (named & F.regexp_like("text", F.lit(ASSIGNED)))
     split = held.select("doc", F.when(maybe, split_words(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"))
 
+    def pieces(line: Column, pattern: str, before: Column) -> Column:
+        """(left, value) of all matches. left: the text since the match before, with
+        that match where it is the value's name; for the first one with `before`."""
+        gaps, values = (F.regexp_extract_all(line, F.lit(pattern), k) for k in (1, 2))
+
+        def left(gap: Column, k: Column) -> Column:
+            name = F.when(F.regexp_like(gap, F.lit(LINK)), F.get(values, k - 1)).otherwise(F.lit(""))
+            return F.when(k == 0, F.concat(before, gap)).otherwise(F.concat(name, gap))
+
+        return F.zip_with(F.transform(gaps, left), values, lambda x, v: F.struct(x.alias("left"), v.alias("value")))
+
     def of_word(words: Column, word: Column, i: Column) -> Column:
-        """The candidates in a word: runs, or where there is none the assigned value."""
+        """The candidates in a word: assigned values and runs, and the runs within
+        assigned values. The word behind belongs to the last one."""
         before = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))
-        runs = F.regexp_extract_all(word, F.lit(RUN), 0)
-        assigned = F.regexp_extract_all(F.concat_ws(" ", before, word), F.lit(ASSIGNED), 1)
-        own = F.filter(assigned, lambda v: word.contains(v))
-        values = F.when(F.length(word) < 8, F.array().cast("array<string>")).when(F.size(runs) > 0, runs).otherwise(own)
-        left = F.concat_ws(" ", before, F.split_part(word, F.get(values, F.lit(0)), F.lit(1)))
-        return F.transform(values, lambda v: F.struct(i.alias("word"), v.alias("value"), left.alias("before"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("after")))
+        line = F.concat_ws(" ", F.nullif(F.regexp_extract(before, LEAD, 1), F.lit("")), word)
+
+        def placed(of: Column) -> Column:
+            behind = lambda k: F.when(k == F.size(of) - 1, F.coalesce(F.get(words, i + 1), F.lit(""))).otherwise(F.lit(""))
+            within = lambda x: F.filter(pieces(x["value"], NEXT_RUN, x["left"]), lambda y: y["value"] != x["value"])
+            row = lambda x, k: F.struct(i.alias("word"), x["value"].alias("value"), x["left"].alias("before"), behind(k).alias("after"))
+            return F.flatten(F.transform(of, lambda x, k: F.transform(F.concat(F.array(x), within(x)), lambda y: row(y, k))))
+
+        found = F.flatten(F.transform(F.array(pieces(line, NEXT, F.concat(before, F.lit(" ")))), placed))
+        return F.filter(F.when(F.length(word) < 8, F.array().cast("array<struct<word:int,value:string,before:string,after:string>>")).otherwise(found), lambda x: F.length(x["value"]) >= 8)
 
     candidates = F.transform(F.array("words"), lambda ws: F.flatten(F.transform(ws, lambda w, i: of_word(ws, w, i))))
     found = split.select("doc", F.get(candidates, F.lit(0)).alias("found"))
@@ -207,6 +233,7 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every found secret replaced by a mark."""
-    secrets = F.filter(findings, lambda x: x["is_secret"])
-    return F.aggregate(secrets, text, lambda acc, x: F.replace(acc, x["value"], F.lit(mark)))
+    """The text with every found secret replaced by a mark, the longest first, as one
+    may stand within another."""
+    secrets = F.transform(F.filter(findings, lambda x: x["is_secret"]), lambda x: F.struct(F.length(x["value"]).alias("n"), x["value"].alias("value")))
+    return F.aggregate(F.sort_array(secrets, asc=False), text, lambda acc, x: F.replace(acc, x["value"], F.lit(mark)))

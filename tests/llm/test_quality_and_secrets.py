@@ -75,3 +75,18 @@ def test_forest_is_accurate_on_findings_it_has_not_seen(spark):
     got = scan(held, forest=forest).select("doc.label", F.exists("findings", lambda f: f["is_secret"]).alias("secret"))
     wrong = got.where("CAST(label AS BOOLEAN) <> secret").count()
     assert wrong / got.count() < 0.15, wrong / got.count()
+
+
+def verdicts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = scan(docs).select("doc.doc_id", "findings", redact(F.col("doc.text"), F.col("findings")).alias("safe")).collect()
+    return [({f.value: f.is_secret for f in r.findings}, r.safe) for r in sorted(found, key=lambda r: r.doc_id)]
+
+
+def test_each_candidate_of_a_word_has_its_own_name(spark):
+    key, digest = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "1b4f0e9851971998e732078544c96b36c3d01ced"
+    url, pair, query, named = verdicts(spark, [f"see https://example.com/api/v2/export?token={key} there", f'{{"token":"{key}","sha256":"{digest}"}}', "id=1234567890abcdef12,password=hunter2x", f'{{"oauth2_client_access_token":"{key}"}}'])
+    assert url[0][key] and url[1] == "see https://example.com/api/v2/export?token=[SECRET] there"
+    assert pair[0] == {key: True, digest: False}
+    assert set(query[0]) == {"1234567890abcdef12", "hunter2x"}
+    assert named[0][key]
