@@ -90,3 +90,9 @@ def test_each_candidate_of_a_word_has_its_own_name(spark):
     assert pair[0] == {key: True, digest: False}
     assert set(query[0]) == {"1234567890abcdef12", "hunter2x"}
     assert named[0][key]
+
+
+def test_assigned_values_run_to_white_space_or_a_quote(spark):
+    mixed, tail, query, holder = verdicts(spark, ["password=P@ss#word2024 end", "password=longvalue1#tail end", "?token=abcdefgh12&user=someone", "password=******** token=<your-token> secret=%(secret)s"])
+    assert set(mixed[0]) == {"P@ss#word2024"} and set(tail[0]) == {"longvalue1#tail"} and set(query[0]) == {"abcdefgh12"}
+    assert not any(holder[0].values()), holder
