@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .op2_quality_rules import settled, split_words
 
-#: A run of 16 key characters or more, one of the first 64 a digit.
-RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,63}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: A run of 16 key characters or more, one of them a digit.
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: A value of 8 characters or more, assigned to a telling name within one word or in
 #: the words before. It ends at white space, a quote or the next name of a query string.
 NAME = r"(?:token|secret|passwd|password|api[_\-]?key|credential)[\"']?"

@@ -96,3 +96,9 @@ def test_assigned_values_run_to_white_space_or_a_quote(spark):
     mixed, tail, query, holder = verdicts(spark, ["password=P@ss#word2024 end", "password=longvalue1#tail end", "?token=abcdefgh12&user=someone", "password=******** token=<your-token> secret=%(secret)s"])
     assert set(mixed[0]) == {"P@ss#word2024"} and set(tail[0]) == {"longvalue1#tail"} and set(query[0]) == {"abcdefgh12"}
     assert not any(holder[0].values()), holder
+
+
+def test_a_run_counts_wherever_its_digit_stands(spark):
+    late = "AbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGhIjKlMnOpQrStUvWxYz7Qp2"
+    found, plain = verdicts(spark, [f"the {late} here", f"the {late[:76]} here"])
+    assert set(found[0]) == {late} and not plain[0]
