@@ -303,12 +303,12 @@ def stream_ingest(spark, sf_dir):
     """Messages through the inbox and the stream; returns the collection's documents."""
     from ..engine import Engine
     from ..sources.files import working_folder
+    from ..streaming.ingest import enqueue_table
 
     engine = Engine(spark, working_folder(spark, "stream"))
     engine.create_collection("docs", "text", embedding_dim=384, index_type="brute_force")
-    rows = documents(spark, sf_dir).where("id < 200").select("id", "text").orderBy("id").limit(200).collect()
-    for a in range(0, len(rows), 50):
-        engine.bulk_ingest("docs", [{"id": str(r.id), "text": r.text} for r in rows[a : a + 50]])
+    rows = documents(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "text")
+    enqueue_table(rows, f"{engine.root}/inbox", "docs", engine.jobs.create(rows.count()).job_id)
     engine.work(once=True, chunk_size=0).awaitTermination()
     return engine.collection("docs").docs().select(F.col("id").cast("long").alias("id"), "text")
 

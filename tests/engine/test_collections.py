@@ -240,3 +240,11 @@ def test_json_sources_and_sinks(spark, tmp_path):
 
 def test_synthetic_products(spark):
     assert products(spark, 50).select(F.countDistinct("description")).first()[0] == 50 and product_queries(spark, 30).where("text LIKE 'best %'").count() == 10
+
+
+def test_stream_ingests_every_document(spark, tmp_path):
+    from loomsearch.plans.queries import stream_ingest
+
+    data = [(i, f"document number {i}") for i in [*range(150), *range(190, 650), 10**12]]
+    spark.createDataFrame(data, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, stream_ingest(spark, str(tmp_path)).select("id", "text").collect())) == data
