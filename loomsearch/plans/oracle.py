@@ -167,5 +167,5 @@ def oracle_sql() -> dict[str, str]:
         "latency_percentiles": "SELECT event_type, list_sort(v)[least(CAST(floor(len(v) * 50.0 / 100) AS BIGINT), len(v) - 1) + 1] AS p50, list_sort(v)[least(CAST(floor(len(v) * 95.0 / 100) AS BIGINT), len(v) - 1) + 1] AS p95, list_sort(v)[least(CAST(floor(len(v) * 99.0 / 100) AS BIGINT), len(v) - 1) + 1] AS p99 FROM (SELECT event_type, list(value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)",
         "synthetic_products": _products(),
         "ingest_counters": "SELECT count(*) FILTER (WHERE length(text) > 0) AS indexed, count(*) FILTER (WHERE text IS NULL OR length(text) = 0) AS errors FROM documents",
-        "stream_ingest": "SELECT doc_id AS id, text FROM documents WHERE doc_id < 200",
+        "stream_ingest": "SELECT doc_id AS id, text FROM documents",
     }
