@@ -4,16 +4,17 @@ IvfIndex: vectors are assigned to the nearest of a number of centroids; a query
 into the lists of its nearest centroids only. A list is cut into blocks by the hash of
 the id, so a list may have any number of vectors.
 
-GraphIndex: vectors are dealt by the hash of the id to shards of bounded size, each
-with a proximity graph of its own: every node is joined with a diverse choice of its
-ef_construction nearest, at most 2 m of them. One node in m also belongs to an upper
-layer, which is searched whole; from its best nodes a query follows the graph with a
-beam of ef. The best of all shards are merged.
+GraphIndex: vectors are dealt to shards of bounded size by the nearest of as many
+centroids as there are shards, a shard that would be too large once more by the hash of
+the id. Each shard has a proximity graph of its own: every node is joined with a diverse
+choice of its ef_construction nearest, at most 2 m of them. One node in m also belongs
+to an upper layer, which is searched whole; from its best nodes a query follows the
+graph with a beam of ef. A query goes to the shards of its nearest centroids, in blocks
+of queries that walk in step, and the best of all shards are merged.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ from .vector_search import best_rows, check_dim, id_type, matrix, unit_rows
 #: Vectors that the centroids are fitted on, and centroids, at most.
 SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
 BLOCK_ROWS, SHARD_ROWS = 50_000, 5_000
+#: Shards of a graph that a query goes to, and queries that walk in step.
+PROBES, WALKERS = 16, 256
 #: Nodes of the upper layer from which a walk sets out.
 ENTRIES = 16
 
@@ -74,6 +77,15 @@ def _score(k: int, dim: int):
     return run
 
 
+def fitted_centres(vectors: DataFrame, n: int, dim: int, n_lists: int, seed: int = 0) -> np.ndarray:
+    """At most n_lists centroids of a bounded sample of the n vectors(id, embedding)."""
+    likely = vectors.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE_ROWS / max(n, 1))))
+    sample = (likely if n > 4 * SAMPLE_ROWS else vectors).orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
+    sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
+    rows = unit_rows(matrix(sample, dim))
+    return kmeans(rows, min(n_lists, MOST_LISTS), seed) if len(rows) else np.zeros((1, dim))
+
+
 @dataclass(frozen=True)
 class IvfIndex:
     vectors: DataFrame
@@ -81,18 +93,15 @@ class IvfIndex:
     blocks: int
 
     @staticmethod
-    def build(vectors: DataFrame, dim: int, n_lists: int = 64, seed: int = 0) -> IvfIndex:
-        """vectors(id, embedding) by list. n_lists is at most MOST_LISTS."""
+    def build(vectors: DataFrame, dim: int, n_lists: int = 64, seed: int = 0, centres: np.ndarray | None = None) -> IvfIndex:
+        """vectors(id, embedding) by list. n_lists is at most MOST_LISTS; centres: those
+        of another index, to be used instead of new ones."""
         check_dim(dim)
         n = vectors.count()
-        likely = vectors.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE_ROWS / max(n, 1))))
-        sample = (likely if n > 4 * SAMPLE_ROWS else vectors).orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).select("embedding").toArrow()["embedding"].combine_chunks()
-        sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
-        rows = unit_rows(matrix(sample, dim))
-        centres = kmeans(rows, min(n_lists, MOST_LISTS), seed) if len(rows) else np.zeros((1, dim))
+        source = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+        centres = fitted_centres(source, n, dim, n_lists, seed) if centres is None else centres
         blocks = int(n // len(centres) // BLOCK_ROWS + 1)
         ddl = f"id {id_type(vectors)}, embedding array<float>, list long"
-        source = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
         listed = source.mapInArrow(_near(centres, 1, None), ddl)
         return IvfIndex(listed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), centres, blocks)
 
@@ -144,43 +153,89 @@ def proximity_graph(rows: np.ndarray, m: int, ef_construction: int) -> list[list
     return out
 
 
-def beam_search(query: np.ndarray, rows: np.ndarray, near: list, entries: list[tuple[float, int]], ef: int) -> list[tuple[float, int]]:
-    """The ef best nodes that a best-first walk from entries (score, node) meets."""
-    seen, open_ = {node for _, node in entries}, [(-score, node) for score, node in entries]
-    best = heapq.nlargest(ef, entries)
-    heapq.heapify(open_)
-    heapq.heapify(best)
-    while open_:
-        score, node = heapq.heappop(open_)
-        if -score < best[0][0] and len(best) >= ef:
-            break
-        fresh = [j for j in near[node] if j not in seen]
-        if not fresh:
+def padded(near: list[list[int]]) -> np.ndarray:
+    """Neighbours as rows of equal length, filled up with -1."""
+    out = np.full((len(near), max(map(len, near), default=1) or 1), -1, np.int32)
+    for row, x in zip(out, near, strict=True):
+        row[: len(x)] = x
+    return out
+
+
+def best_of(scores: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n highest of each row, in no order."""
+    return np.argpartition(-scores, n - 1, axis=1)[:, :n] if scores.shape[1] > n else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+
+
+def beam_search(queries: np.ndarray, rows: np.ndarray, near: np.ndarray, upper: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, scores) of the ef best nodes that a best-first walk of each query meets,
+    -1 for none. All queries take a step at a time: each visits the neighbours of its
+    best node that is not expanded yet, until its beam holds no such node."""
+    n_queries, n = len(queries), len(rows)
+    above = queries @ rows[upper].T
+    first = best_of(above, min(ENTRIES, ef))
+    nodes = np.full((n_queries, ef), -1, np.int64)
+    scores = np.full((n_queries, ef), -np.inf, rows.dtype)
+    nodes[:, : first.shape[1]], scores[:, : first.shape[1]] = upper[first], np.take_along_axis(above, first, axis=1)
+    open_ = nodes >= 0
+    seen = np.zeros(n_queries * n, bool)
+    seen[(np.arange(n_queries)[:, None] * n + nodes)[open_]] = True
+    walking = np.arange(n_queries)
+    while len(walking):
+        ahead = np.where(open_[walking], scores[walking], -np.inf)
+        at = ahead.argmax(axis=1)
+        going = ahead[np.arange(len(walking)), at] > -np.inf
+        walking, at = walking[going], at[going]
+        open_[walking, at] = False
+        met = near[nodes[walking, at]]
+        keys = (walking[:, None] * n + met)[met >= 0]
+        keys = keys[~seen[keys]]
+        if not len(keys):
             continue
-        seen.update(fresh)
-        for s, j in zip((rows[fresh] @ query).tolist(), fresh, strict=True):
-            if len(best) < ef or s > best[0][0]:
-                heapq.heappush(open_, (-s, j))
-                heapq.heappush(best, (s, j))
-                if len(best) > ef:
-                    heapq.heappop(best)
-    return best
+        seen[keys] = True
+        who, which = np.divmod(keys, n)
+        fresh = np.einsum("ij,ij->i", queries[who], rows[which])
+        # keys are in the order of the queries: one row of new nodes for each of them.
+        movers, begin, counts = np.unique(who, return_index=True, return_counts=True)
+        place = np.arange(len(who)) - np.repeat(begin, counts)
+        own = np.repeat(np.arange(len(movers)), counts)
+        more_nodes = np.full((len(movers), int(counts.max())), -1, np.int64)
+        more_scores = np.full(more_nodes.shape, -np.inf, rows.dtype)
+        more_nodes[own, place], more_scores[own, place] = which, fresh
+        all_nodes, all_scores = np.hstack([nodes[movers], more_nodes]), np.hstack([scores[movers], more_scores])
+        all_open = np.hstack([open_[movers], more_nodes >= 0])
+        kept = best_of(all_scores, ef)
+        nodes[movers], scores[movers], open_[movers] = (np.take_along_axis(x, kept, axis=1) for x in (all_nodes, all_scores, all_open))
+    return nodes, scores
 
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """nodes: (shard, node, id, embedding, neighbours, upper), embeddings of length one."""
+    """nodes: (shard, node, id, embedding, neighbours, upper), embeddings of length one;
+    centres: the centroid of each of the shards, where there are several; a shard whose
+    centroid is not a number is asked by every query."""
 
     nodes: DataFrame
     dim: int
     ef_search: int
-    shards: int
+    shards: list[int]
+    centres: np.ndarray | None = None
 
     @staticmethod
     def build(vectors: DataFrame, dim: int, m: int = 16, ef_construction: int = 200, ef_search: int = 50) -> GraphIndex:
         check_dim(dim)
-        shards = int(vectors.count() // SHARD_ROWS + 1)
-        kind = id_type(vectors)
+        n, kind = vectors.count(), id_type(vectors)
+        source = vectors.select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+        if n <= SHARD_ROWS:
+            shards, centres, dealt = [0], None, source.withColumn("shard", F.lit(0).cast("long"))
+        else:
+            centres = fitted_centres(source, n, dim, -(-n // SHARD_ROWS))
+            listed = source.mapInArrow(_near(centres, 1, None), f"id {kind}, embedding array<float>, list long")
+            # One row for each list: at most MOST_LISTS.
+            parts = {r["list"]: -(-r["n"] // SHARD_ROWS) for r in listed.groupBy("list").agg(F.count("*").alias("n")).collect()}
+            first = np.cumsum([0] + [parts.get(i, 0) for i in range(len(centres))])
+            of_list = source.sparkSession.createDataFrame([(i, int(first[i]), p) for i, p in parts.items()], "list long, first long, parts long")
+            dealt = listed.join(F.broadcast(of_list), "list").select("id", "embedding", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard"))
+            shards, centres = list(range(int(first[-1]))), np.repeat(centres, np.diff(first), axis=0)
 
         def build_shard(table: pa.Table) -> pa.Table:
             table = table.sort_by("id").combine_chunks()
@@ -190,30 +245,58 @@ class GraphIndex:
             near = proximity_graph(rows, m, ef_construction)
             return pa.table([table["shard"], pa.array(np.arange(len(rows))), table["id"], pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32())), pa.array(near, pa.list_(pa.int64())), pa.array(upper)], ["shard", "node", "id", "embedding", "neighbours", "upper"])
 
-        dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", F.col("embedding").cast("array<float>").alias("embedding"))
         ddl = f"shard long, node long, id {kind}, embedding array<float>, neighbours array<long>, upper boolean"
-        return GraphIndex(dealt.groupBy("shard").applyInArrow(build_shard, ddl), dim, ef_search, shards)
-
-    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None) -> DataFrame:
-        """(qid, id, score, rank); the beam has max(ef or ef_search, k) nodes."""
-        beam, dim = max(ef or self.ef_search, k), self.dim
-        asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.shards - 1).cast("long"))).alias("shard"))
+        nodes = dealt.select("shard", "id", "embedding").groupBy("shard").applyInArrow(build_shard, ddl)
+        return GraphIndex(nodes, dim, ef_search, shards, centres)
+
+    def candidates(self, queries: DataFrame, beam: int, k: int | None = None, probes: int = PROBES) -> DataFrame:
+        """(qid, id, score, shard) of the k best (or all) of the beam in each shard that
+        a query goes to."""
+        k, dim, shards, centres = k or beam, self.dim, np.array(self.shards, np.int64), self.centres
+        always = np.zeros(len(shards), bool) if centres is None else np.isnan(centres).any(axis=1)
+        asked_by_one = min(probes + int(always.sum()), len(shards))
+        blocks = max(1, -(-queries.count() // (2 * WALKERS)))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if centres is None or len(shards) == asked_by_one:
+                    near = np.tile(shards, (batch.num_rows, 1))
+                else:
+                    scores = unit_rows(matrix(batch["embedding"], dim)) @ np.nan_to_num(centres).T
+                    scores[:, always] = np.inf
+                    # The parts of a list share its centroid, and all of them are asked.
+                    near = [shards[row >= last] for row, last in zip(scores, -np.partition(-scores, asked_by_one - 1, axis=1)[:, asked_by_one - 1], strict=True)]
+                taken = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in near])))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate([*near, np.empty(0, np.int64)]).astype(np.int64))], [*taken.schema.names, "shard"])
+
+        asked = queries.select("qid", F.col("embedding").cast("array<float>").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("block"))
+        asked = asked.mapInArrow(deal, f"qid {id_type(queries, 'qid')}, embedding array<float>, block long, shard long")
+        nodes = self.nodes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))) if blocks > 1 else self.nodes.withColumn("block", F.lit(0).cast("long"))
 
         def search_shard(key: tuple, q: pa.Table, v: pa.Table) -> pa.Table:
             q, v = q.combine_chunks(), v.sort_by("node").combine_chunks()
-            qids, ids, scores = [], [], []
+            qids, ids, found = [pa.array([], q.schema.field("qid").type)], [pa.array([], v.schema.field("id").type)], [np.empty(0)]
             if q.num_rows and v.num_rows:
-                rows, near = matrix(v["embedding"].chunk(0), dim), v["neighbours"].to_pylist()
-                names, upper = v["id"].to_pylist(), np.flatnonzero(np.asarray(v["upper"].to_pylist(), bool))
-                for qid, x in zip(q["qid"].to_pylist(), unit_rows(matrix(q["embedding"].chunk(0), dim)), strict=True):
-                    above = rows[upper] @ x
-                    entries = [(float(above[i]), int(upper[i])) for i in np.argsort(-above, kind="stable")[:ENTRIES]]
-                    for s, j in sorted(beam_search(x, rows, near, entries, beam), reverse=True)[:k]:
-                        qids.append(qid)
-                        ids.append(names[j])
-                        scores.append(round(s, PLACES))
-            return pa.table([pa.array(qids, q.schema.field("qid").type), pa.array(ids, v.schema.field("id").type), pa.array(scores, pa.float64())], ["qid", "id", "score"])
-
-        out = f"qid {id_type(queries, 'qid')}, id {id_type(self.nodes)}, score double"
-        rows = asked.groupBy("shard").cogroup(self.nodes.groupBy("shard")).applyInArrow(search_shard, out)
-        return top_k(rows, k)
+                exact = matrix(v["embedding"].chunk(0), dim)
+                rows, near = exact.astype(np.float32), padded(v["neighbours"].to_pylist())
+                upper = np.flatnonzero(np.asarray(v["upper"].to_pylist(), bool))
+                asking = unit_rows(matrix(q["embedding"].chunk(0), dim))
+                for a in range(0, len(asking), WALKERS):
+                    part = asking[a : a + WALKERS]
+                    met, scores = beam_search(part.astype(np.float32), rows, near, upper, min(beam, len(rows)))
+                    best = best_of(scores, min(k, scores.shape[1]))
+                    who, which = np.repeat(np.arange(len(part)), best.shape[1]), np.take_along_axis(met, best, axis=1).ravel()
+                    who, which = who[which >= 0], which[which >= 0]
+                    qids.append(q["qid"].take(pa.array(who + a)).combine_chunks())
+                    ids.append(v["id"].take(pa.array(which)).combine_chunks())
+                    found.append(np.round(np.einsum("ij,ij->i", part[who], exact[which]), PLACES))
+            parts = [pa.chunked_array(x, type=x[0].type) for x in (qids, ids)]
+            scores = np.concatenate(found)
+            return pa.table([*parts, pa.array(scores), pa.array(np.full(len(scores), key[0].as_py(), np.int64))], ["qid", "id", "score", "shard"])
+
+        out = f"qid {id_type(queries, 'qid')}, id {id_type(self.nodes)}, score double, shard long"
+        return asked.groupBy("shard", "block").cogroup(nodes.groupBy("shard", "block")).applyInArrow(search_shard, out)
+
+    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, probes: int = PROBES) -> DataFrame:
+        """(qid, id, score, rank); the beam has max(ef or ef_search, k) nodes."""
+        return top_k(self.candidates(queries, max(ef or self.ef_search, k), k, probes).drop("shard"), k)

@@ -11,6 +11,8 @@ from .postings import KeywordIndex, idf
 K1, B = 1.5, 0.75
 #: Scores are compared to so many places, so that equal ones tie in any order of sums.
 PLACES = 6
+#: Terms of a table of queries that are named to the scan of the postings, at most.
+MOST_TERMS = 2_000
 
 
 def term_weight(tf: Column, dl: Column, avgdl: Column, idf_: Column, k1: float = K1, b: float = B) -> Column:
@@ -26,11 +28,22 @@ def top_k(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
 def bm25_scores(queries: DataFrame, index: KeywordIndex, k1: float = K1, b: float = B, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score) of every document that has a term of the query. A query's
     terms count once each; a query without terms has no rows. allowed(id): only these
-    are scored; frequencies and lengths stay those of all documents."""
+    are scored; frequencies and lengths stay those of all documents.
+
+    Of few queries the terms are looked at first: they are then named to the scan of the
+    postings, which is sorted by term, and sent to every task."""
     terms = queries.select("qid", F.explode(unique_terms("text", index.stemming)).alias("term"))
+    first = terms.limit(MOST_TERMS + 1).collect()
+    index_terms, postings = index, index.postings
+    if len(first) <= MOST_TERMS:
+        index_terms = index.of_terms(sorted({r["term"] for r in first}))
+        postings = index_terms.postings
+        terms = F.broadcast(queries.sparkSession.createDataFrame(first, terms.schema))
     one_row = F.broadcast(index.statistics())
-    weighed = terms.join(index.terms(), "term").join(one_row, how="cross").select("qid", "term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
-    postings = index.postings if allowed is None else index.postings.join(allowed, "id", "left_semi")
+    weighed = terms.join(index_terms.terms(), "term").join(one_row, how="cross").select("qid", "term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
+    if len(first) <= MOST_TERMS:
+        weighed = F.broadcast(weighed)
+    postings = postings if allowed is None else postings.join(allowed, "id", "left_semi")
     hits = postings.join(weighed, "term")
     parts = hits.select("qid", "id", term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), k1, b).alias("w"))
     return parts.groupBy("qid", "id").agg(F.round(F.sum("w"), PLACES).alias("score"))

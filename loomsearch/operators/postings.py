@@ -48,12 +48,27 @@ class KeywordIndex:
     def vocab_size(self) -> DataFrame:
         return self.terms().agg(F.count("*").alias("vocab_size"))
 
-    def term_freq(self, doc_id, term: str) -> int:
-        """Frequency in a document of the first token that `term` is analysed to."""
+    def of_terms(self, terms: list[str]) -> KeywordIndex:
+        """The index as far as some terms go; statistics stay those of all documents."""
+        named = F.col("term").isin(terms)
+        kept = None if self.kept_terms is None else self.kept_terms.where(named)
+        return KeywordIndex(self.postings.where(named), self.documents, self.stemming, kept, self.kept_statistics)
+
+    def term_freqs(self, term: str) -> DataFrame:
+        """(id, tf) of the documents that have the first token `term` is analysed to."""
         first = F.get(tokens(F.lit(term), self.stemming), F.lit(0))
-        row = self.postings.where((F.col("id") == doc_id) & (F.col("term") == first)).select("tf").head()
+        return self.postings.where(F.col("term") == first).select("id", "tf")
+
+    def term_freq(self, doc_id, term: str) -> int:
+        """Frequency of a term in one document, 0 where it is not."""
+        row = self.term_freqs(term).where(F.col("id") == doc_id).head()
         return row.tf if row else 0
 
+    def which(self, ids: DataFrame) -> DataFrame:
+        """(id, held) of every row of ids(id): whether the document is indexed."""
+        own = self.documents.select("id", F.lit(True).alias("held"))
+        return ids.select("id").join(own, "id", "left").select("id", F.coalesce("held", F.lit(False)).alias("held"))
+
     def contains(self, doc_id) -> bool:
         return not self.documents.where(F.col("id") == doc_id).isEmpty()
 

@@ -159,8 +159,8 @@ def test_snapshots_and_catalog(spark, shop, tmp_path):
     before = again.docs()
     c.delete("d3")
     assert before.count() == 4 and Collection.load(spark, c.folder).docs().count() == 3
-    c.drop_versions_before(c.version)
-    assert c.docs().count() == 3
+    c.compact()
+    assert c.docs().count() == 3 and len(c.state.segments) == 1 and not c.state.gone
     stats = c.stats()
     assert (stats["doc_count"], stats["vector_count"], stats["embedding_dim"], stats["index_type"]) == (3, 3, DIM, "brute_force") and len(stats) == 10
     with pytest.raises(ValueError):
