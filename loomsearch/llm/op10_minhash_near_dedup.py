@@ -37,19 +37,23 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch, hashed_sample
-from .words import Words, as_array, mix, slices, windows
+from .store import Scratch, batches_of, hashed_sample
+from .words import Words, as_array, byte_lengths, mix, slices, windows
 
 COMPONENTS, LANES = 32, 8
 #: Share of pairs at the very threshold that may exceed the searched distance.
 MISSED = 1e-4
 #: Pairs that are sampled for the frequency of elements, and elements that are noted.
 SAMPLED_PAIRS, FREQUENT = 2_000, 100_000
+#: Text of the pairs that a task compares at once, differences that it hands on at
+#: once, and rows of a batch of pairs: bounds of its memory.
+PAIR_BYTES, DIFFERENCES, PAIRS_PER_BATCH = 2 << 20, 200_000, 256
 
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
@@ -92,25 +96,32 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def _sums(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The size of each set and two 64-bit sums of hashes of its elements."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    full, sums = sizes > 0, np.zeros((2, len(sets)), np.uint64)
+    if full.any():
+        joined, at = np.concatenate(sets), np.append(0, np.cumsum(sizes[full])[:-1])
+        sums[0, full] = np.add.reduceat(mix(joined), at)
+        sums[1, full] = np.add.reduceat(mix(joined ^ _XOR[0]), at)
+    return [sizes, sums[0].view(np.int64), sums[1].view(np.int64)]
+
+
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_array(batch["text"])
             for a, b in slices(texts, 4 << 20):
                 sets = _sets(texts.slice(a, b - a), n)
-                sizes = np.array([len(x) for x in sets])
-                full = sizes > 0
-                sums, sign = np.zeros((2, len(sets)), np.uint64), np.zeros((len(sets), COMPONENTS), np.uint16)
+                sizes, *sums = _sums(sets)
+                full, sign = sizes > 0, np.zeros((len(sets), COMPONENTS), np.uint16)
                 if full.any():
-                    joined = np.concatenate(sets)
-                    at = np.append(0, np.cumsum(sizes[full])[:-1])
-                    sums[0, full] = np.add.reduceat(mix(joined), at)
-                    sums[1, full] = np.add.reduceat(mix(joined ^ _XOR[0]), at)
+                    joined, at = np.concatenate(sets), np.append(0, np.cumsum(sizes[full])[:-1])
                     for j in range(COMPONENTS):
                         sign[full, j] = mix(np.minimum.reduceat((joined ^ _XOR[j]) * _TIMES[j], at)).astype(np.uint16)
                 lanes = np.ascontiguousarray(sign).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["id"].slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(LANES))],
+                    [batch["id"].slice(a, b - a), *map(pa.array, (sizes, *sums)), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(LANES))],
                     ["id", "n_shingles", "set_a", "set_b", *_SIGNS],
                 )
 
@@ -118,7 +129,7 @@ def _signatures(n: int):
 
 
 def _keys(chunks: list[list[int]]):
-    """(key, id): for each chunk and each of its components, the others' hash."""
+    """(key, node): for each chunk and each of its components, the others' hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,52 +144,77 @@ def _keys(chunks: list[list[int]]):
                         if c != left_out:
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, c])
                     keys.append(key.view(np.int64))
-            ids = batch["id"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], ["key", "id"])
+            nodes = batch["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(nodes, len(keys)))], ["key", "node"])
 
     return run
 
 
-def _shingles(text: str, n: int) -> frozenset:
-    words = text.encode().lower().split()
-    if len(words) < n:
-        return frozenset([tuple(words)] if words else [])
-    return frozenset(zip(*(words[i:] for i in range(n)), strict=False))
+def _texts_of_classes(n: int):
+    """(node, text) of the rows whose set is that of the class they were joined with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_array(batch["text"])
+            for a, b in slices(texts, 4 << 20):
+                sets = _sets(texts.slice(a, b - a), n)
+                own = [pa.array(x) for x in _sums(sets)]
+                same = [pc.equal(x, batch[c].slice(a, b - a)) for x, c in zip(own, ("n_shingles", "set_a", "set_b"), strict=True)]
+                mine = pc.and_(pc.and_(*same[:2]), same[2])
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a).filter(mine), texts.slice(a, b - a).cast(pa.string()).filter(mine)], ["node", "text"])
+
+    return run
 
 
-def _pairs_of_sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[frozenset, frozenset]]]]:
-    last, own = None, frozenset()
+def _pairs_of_sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """The pairs in runs of a few megabytes of text, with the sets of both sides; the
+    set of a is made once for neighbouring rows of the same a."""
     for batch in batches:
-        sets = []
-        for a, x, y in zip(batch["a"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
-            if a != last:
-                last, own = a, _shingles(x.as_py() or "", n)
-            sets.append((own, _shingles(y.as_py() or "", n)))
-        yield batch, sets
+        if not batch.num_rows:
+            continue
+        left, right, a = as_array(batch["text_a"]), as_array(batch["text_b"]), batch["a"].to_numpy()
+        new = np.append(True, a[1:] != a[:-1])
+        cost = np.cumsum(byte_lengths(right) + new * byte_lengths(left))
+        first = 0
+        while first < len(a):
+            last = max(first + 1, int(np.searchsorted(cost, (cost[first - 1] if first else 0) + PAIR_BYTES, side="right")))
+            own = new[first:last].copy()
+            own[0] = True
+            sets = _sets(left.slice(first, last - first).filter(pa.array(own)), n)
+            yield batch.slice(first, last - first), [sets[i] for i in np.cumsum(own) - 1], _sets(right.slice(first, last - first), n)
+            first = last
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of x are in y; both sorted."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
 
 
 def _confirm(n: int, percent: int):
-    """(a, b, linked): whether the full sets reach the similarity."""
+    """(a, b, linked, and the sizes of both sets and of what they share): linked where
+    the full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _pairs_of_sets(n, batches):
-            common = [len(x & y) for x, y in sets]
-            linked = [100 * c >= percent * (len(x) + len(y) - c) for c, (x, y) in zip(common, sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        for batch, xs, ys in _pairs_of_sets(n, batches):
+            size_a, size_b = (np.array([len(x) for x in sets], np.int64) for sets in (xs, ys))
+            common = np.array([np.count_nonzero(_within(x, y)) for x, y in zip(xs, ys, strict=True)], np.int64)
+            linked = 100 * common >= percent * (size_a + size_b - common)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *map(pa.array, (linked, size_a, size_b, common))], ["a", "b", "linked", "size_a", "size_b", "common"])
 
     return run
 
 
-def _elements(x: frozenset, y: frozenset) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(b" ".join(e)) - (1 << 63) for e in x ^ y]
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[~_within(x, y)], y[~_within(y, x)]])
 
 
 def _all_differences(n: int):
     """Every element in which b differs from its hub a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _pairs_of_sets(n, batches):
-            yield pa.RecordBatch.from_arrays([pa.array([e for x, y in sets for e in _elements(x, y)], pa.int64())], ["element"])
+        for _, xs, ys in _pairs_of_sets(n, batches):
+            for x, y in zip(xs, ys, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_apart(x, y).view(np.int64))], ["element"])
 
     return run
 
@@ -188,21 +224,38 @@ def _differences(n: int, percent: int, frequent: dict[int, int]):
     number of elements from there on (rest) and the part of b in the agreement that is
     needed, times 100 + percent (need). Rows that ask stand for every b, the others
     for a b that is not linked with the hub; each holds as many elements as can be the
-    first that two texts share."""
+    first that two texts share, when the other needs no less than `least_asks` or
+    `least_open`, the smallest of its kind with this hub."""
     whole = 100 + percent
+    known = np.array(sorted(frequent), np.int64)
+    times = np.array([frequent[e] for e in known.tolist()], np.int64)
+    names = ["a", "element", "b", "c", "asks", "rest", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _pairs_of_sets(n, batches):
-            rows: list[tuple] = []
-            for a, b, c, linked, (x, y) in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["c"].to_pylist(), batch["linked"].to_pylist(), sets, strict=True):
-                apart = sorted(_elements(x, y), key=lambda e: (frequent.get(e, 0), e))
-                size, need = len(apart), 100 * len(x - y) + percent * len(y - x)
-                for asks, least in ((True, need),) if linked else ((True, need), (False, need - (100 - percent) * len(x))):
-                    first = size - max(1, -(-least // whole)) + 1
-                    rows += [(a, e, b, c, asks, size - i, least) for i, e in enumerate(apart[:first])]
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["a", "element", "b", "c", "asks", "rest", "need"])
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
+
+        for batch, xs, ys in _pairs_of_sets(n, batches):
+            columns = (batch[c].to_pylist() for c in ("a", "b", "c", "linked", "need", "least_asks", "least_open"))
+            for a, b, c, linked, need, least_asks, least_open, x, y in zip(*columns, xs, ys, strict=True):
+                apart = _apart(x, y).view(np.int64)
+                often = np.where(_within(apart, known), times[np.minimum(np.searchsorted(known, apart), len(known) - 1)], 0) if len(known) else np.zeros(len(apart), np.int64)
+                apart = apart[np.lexsort((apart, often))]
+                size = len(apart)
+                open_need = need - (100 - percent) * len(x)
+                for asks, own, other in ((True, need, least_open), (False, open_need, least_asks)):
+                    first = size - max(1, -(-(own + other) // whole)) + 1
+                    if first > 0 and (asks or not linked):
+                        fixed = [np.full(first, v) for v in (b, c, asks)]
+                        parts.append([np.full(first, a), apart[:first], *fixed, size - np.arange(first), np.full(first, own)])
+                        held += first
+                if held > DIFFERENCES:
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
 
     return run
 
@@ -219,75 +272,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept. Rows that share an id share a class. An empty table gives an empty table;
     further columns of docs play no part and are not returned.
     """
-    scratch = Scratch(docs.sparkSession, "near")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
     distance = largest_distance(percent / 100)
     chunks = chunks_for(distance)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     longs = ", ".join(f"{x} long" for x in ["id", "n_shingles", "set_a", "set_b", *_SIGNS])
     signed = scratch.write(source.mapInArrow(_signatures(shingle), longs), "signed")
     same_set = ["n_shingles", "set_a", "set_b"]
-    signs = [F.min_by(s, "id").alias(s) for s in _SIGNS]
-    classes = scratch.write(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*same_set).agg(F.min("id").alias("id"), *signs), "classes")
+    named = signed.where("n_shingles > 0 AND id IS NOT NULL")
+    # A class is a node of the graph of links; its number says nothing but which it is.
+    by_set = named.groupBy(*same_set).agg(F.min("id").alias("id"), *[F.min(s).alias(s) for s in _SIGNS])
+    classes = scratch.write(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keys = classes.select("id", *_SIGNS).mapInArrow(_keys(chunks), "key long, id long")
+    keys = classes.select("node", *_SIGNS).mapInArrow(_keys(chunks), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.write(keys.join(shared, "key"), "met")
-    degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = scratch.write(met.select("key", "id").join(degree, "id"), "ranked")
-    most_shared = F.struct("degree", -F.col("id"))
-    hubs = ranked.groupBy("key").agg(F.max_by("id", most_shared).alias("hub"))
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = scratch.write(met.select("key", "node").join(degree, "node"), "ranked")
+    most_shared = F.struct("degree", -F.col("node"))
+    hubs = ranked.groupBy("key").agg(F.max_by("node", most_shared).alias("hub"))
     members = scratch.write(ranked.join(hubs, "key"), "members")
-    texts = scratch.write(source.join(members.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    repeated_ids = scratch.write(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    repeated = not repeated_ids.isEmpty()
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("id", "node", *same_set)
+    texts = source.join(wanted, "id").mapInArrow(_texts_of_classes(shingle), "node long, text string")
+    texts = scratch.write(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def confirmed(pairs: DataFrame, step: int) -> DataFrame:
-        return scratch.write(with_texts(pairs).mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean"), f"tried-{step}")
+        return scratch.write(with_texts(pairs).mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean, size_a long, size_b long, common long"), f"tried-{step}")
 
     def open_members(found: DataFrame) -> DataFrame:
         """Members of the keys whose members are not all connected, with component c
         and that of their hub."""
-        labelled = members.join(found, "id", "left").select("key", "id", "degree", "hub", F.coalesce("component", "id").alias("c"))
-        apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("id") == F.col("hub"), F.col("c"))).alias("main"))
+        labelled = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "degree", "hub", F.coalesce("component", "node").alias("c"))
+        apart = labelled.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.max(F.when(F.col("node") == F.col("hub"), F.col("c"))).alias("main"))
         return labelled.join(apart.where("least < most").select("key", "main"), "key")
 
+    # Classes that hold rows of one id belong together, whatever their texts.
+    links = None
+    if repeated:
+        shared_id = named.join(repeated_ids, "id").join(classes.select("node", *same_set), same_set).select("id", "node").distinct()
+        links = scratch.write(shared_id.join(shared_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b"), "same-id")
+
+    def linked(tried: DataFrame) -> DataFrame:
+        found = tried.where("linked").select("a", "b")
+        return found if links is None else found.unionByName(links)
+
     # For the passes between, components in parts will do: they only spare comparisons.
-    stars = confirmed(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), 1)
-    tried = stars
-    found = scratch.write(components(tried.where("linked"), scratch, "star-1", rounds=1), "found-1")
-
-    apart = scratch.write(open_members(found), "open-2")
-    second = apart.where("c != main").groupBy("key").agg(F.max_by("id", most_shared).alias("a"), F.max_by("c", most_shared).alias("c_a"))
-    pairs = apart.join(second, "key").where("c != c_a").select("a", F.col("id").alias("b")).distinct()
-    known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-2")
-    if not pairs.isEmpty():
-        tried = tried.unionByName(confirmed(pairs, 2))
-        found = scratch.write(components(tried.where("linked"), scratch, "star-2", rounds=1), "found-2")
-
-    rest = open_members(found).where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "c").distinct()
-    rest = scratch.write(rest.join(stars, ["a", "b"]), "rest")
-    sampled = with_texts(hashed_sample(rest, SAMPLED_PAIRS, "a", "b")).mapInArrow(_all_differences(shingle), "element long")
-    counted = sampled.groupBy("element").count().where("count > 1").orderBy(F.desc("count"), "element").limit(FREQUENT)
-    frequent = {r["element"]: r["count"] for r in counted.collect()}
-    differences = with_texts(rest).mapInArrow(_differences(shingle, percent, frequent), "a long, element long, b long, c long, asks boolean, rest long, need long")
-    differences = scratch.write(differences, "differences")
-    x, y = differences.where("asks").alias("x"), differences.where("NOT asks").alias("y")
-    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.c") != F.col("y.c"))
-    same &= F.col("x.need") + F.col("y.need") <= (100 + percent) * F.least("x.rest", "y.rest")
-    pairs = x.join(y, same).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-3")
-    tried = tried.unionByName(confirmed(pairs, 3))
-    found = scratch.write(components(tried.where("linked"), scratch, "star-3"), "found-3")
-
-    named = classes.select(*same_set, F.col("id").alias("first"))
-    of_class = named.join(found.withColumnRenamed("id", "first"), "first", "left").select(*same_set, F.coalesce("component", "first").alias("component_id"))
-    grouped = signed.where("n_shingles > 0 AND id IS NOT NULL").select("id", *same_set).join(of_class, same_set).select("id", "n_shingles", "component_id")
+    with batches_of(spark, PAIRS_PER_BATCH):
+        stars = confirmed(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), 1)
+        tried = stars
+        found = scratch.write(components(linked(tried), scratch, "star-1", rounds=1), "found-1")
+
+        apart = scratch.write(open_members(found), "open-2")
+        second = apart.where("c != main").groupBy("key").agg(F.max_by("node", most_shared).alias("a"), F.max_by("c", most_shared).alias("c_a"))
+        pairs = apart.join(second, "key").where("c != c_a").select("a", F.col("node").alias("b")).distinct()
+        known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-2")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(confirmed(pairs, 2))
+            found = scratch.write(components(linked(tried), scratch, "star-2", rounds=1), "found-2")
+
+        rest = open_members(found).where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "c").distinct()
+        need = 100 * (F.col("size_a") - F.col("common")) + percent * (F.col("size_b") - F.col("common"))
+        rest = scratch.write(rest.join(stars.withColumn("need", need), ["a", "b"]), "rest")
+        least = rest.groupBy("a").agg(F.min("need").alias("least_asks"), F.min(F.when(~F.col("linked"), F.col("need") - (100 - percent) * F.col("size_a"))).alias("least_open"))
+        wide = rest.join(least.where("least_open IS NOT NULL"), "a").select("a", "b", "c", "linked", "need", "least_asks", "least_open")
+        sampled = with_texts(hashed_sample(wide, SAMPLED_PAIRS, "a", "b")).mapInArrow(_all_differences(shingle), "element long")
+        counted = sampled.groupBy("element").count().where("count > 1").orderBy(F.desc("count"), "element").limit(FREQUENT)
+        frequent = {r["element"]: r["count"] for r in counted.collect()}
+        differences = with_texts(wide).mapInArrow(_differences(shingle, percent, frequent), "a long, element long, b long, c long, asks boolean, rest long, need long")
+        differences = scratch.write(differences, "differences")
+        x, y = differences.where("asks").alias("x"), differences.where("NOT asks").alias("y")
+        same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.c") != F.col("y.c"))
+        same &= F.col("x.need") + F.col("y.need") <= (100 + percent) * F.least("x.rest", "y.rest")
+        pairs = x.join(y, same).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-3")
+        tried = tried.unionByName(confirmed(pairs, 3))
+    found = scratch.write(components(linked(tried), scratch, "star-3"), "found-3")
+
+    joined = classes.select("node", *same_set, "id").join(found.withColumnRenamed("id", "node"), "node", "left").select(*same_set, "id", "component")
+    first = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"))
+    of_class = joined.join(first, "component", "left").select(*same_set, F.coalesce("first", "id").alias("component_id"))
+    grouped = named.select("id", *same_set).join(of_class, same_set).select("id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     result = grouped.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
     result = scratch.write(result, "result")
-    scratch.drop("signed", "classes", "met", "ranked", "members", "texts", "rest", "differences", *(f"{x}-{i}" for x in ("pairs", "tried", "open", "found") for i in (1, 2, 3)))
+    scratch.drop("signed", "classes", "met", "ranked", "members", "repeated-ids", "same-id", "texts", "rest", "differences", *(f"{x}-{i}" for x in ("pairs", "tried", "open", "found") for i in (1, 2, 3)))
     return result

@@ -46,7 +46,7 @@ def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, in
     n = len(texts)
     if not n:
         return
-    ends = np.cumsum(np.diff(_offsets(texts)))
+    ends = np.cumsum(byte_lengths(texts))
     first = 0
     while first < n:
         base = ends[first - 1] if first else 0
@@ -68,6 +68,11 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
 
 
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    """UTF-8 bytes of each text."""
+    return np.diff(_offsets(texts))
+
+
 class Words:
     """The words of a run of texts.
 
