@@ -1,14 +1,19 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
-Method: best-fit in decreasing order over the pieces of all partitions at once. Each
-partition tokenises its texts, cuts what is longer than a sequence, and numbers its
-pieces of each length. How many pieces there are of each length is a table no longer
-than a sequence, and decides the packing: pieces of one length are placed together,
-as many to a bin as one after the other would be. The plan says which bin and place
-the nth piece of a length has, and every task looks its pieces up there.
-
-No piece meets others in one task, nothing is left out of the search for a bin, and the
-number of sequences depends on neither the order nor the partitions of the table.
+Method: hierarchical residual packing. Texts are tokenised and what is longer than a
+sequence is cut. The pieces are dealt to partitions of a fixed number of pieces, those
+of each length evenly, so that each partition has the lengths of the whole table,
+however that is sorted. Each partition packs its pieces best-fit in decreasing order.
+Full and nearly full bins are emitted; the underfull bins of eight neighbouring
+partitions then meet as items of a further best-fit round, and so on until one group
+is left.
+
+What a group hands on is bounded without closing a bin that could still be filled.
+Best-fit leaves at most one bin of a group half full or less, as two would have been
+one; so a round places at most eight items into other bins, and of the bins with equal
+room, which are as good as each other, no more than eight for each round to come can be
+used. Those beyond are emitted, as are bins with less room than the smallest bin of
+all groups holds; all others are handed on.
 """
 
 from __future__ import annotations
@@ -36,10 +41,12 @@ REMEMBERED = 1_000_000
 _KINDS = np.array([1 if chr(b).isalnum() else 2 if 0x21 <= b <= 0x7E and b != 0x27 else 0 for b in range(128)] + [0] * 128, np.uint8)
 
 _PIECE = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "grp", "nth")])
-_PLACED = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "bin", "offset")])
-_DDL, _PLACED_DDL = (", ".join(f"{c} long" for c in schema.names) for schema in (_PIECE, _PLACED))
-#: Pieces of one length, at most, as a power of two.
-RANK_BITS = 48
+_PACKED = pa.schema([(c, pa.int64()) for c in ("id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "grp")] + [("open", pa.bool_())])
+#: An underfull bin of the first round, the bin it is in now, its place and how full that is.
+_MOVED = pa.schema([(c, pa.int64()) for c in ("bin", "host", "shift", "fill", "grp")] + [("open", pa.bool_())])
+_PIECE_DDL, _PACKED_DDL, _MOVED_DDL = (", ".join(f"{f.name} {'boolean' if f.type == pa.bool_() else 'long'}" for f in x) for x in (_PIECE, _PACKED, _MOVED))
+#: Pieces of a partition, and groups that meet in a round.
+PIECES, FAN_IN = 8192, 8
 
 
 class TokenIds:
@@ -99,40 +106,6 @@ class TokenIds:
         return ids, np.append(0, ends)[words.first]
 
 
-class Bins:
-    """Open bins by the room they have; a bit set finds the tightest fit. Places one
-    item at a time; plan() does the same for all items of a size."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.fill = capacity, {}
-        self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.rooms = 0
-
-    def _enter(self, number: int, fill: int) -> None:
-        self.fill[number] = fill
-        room = self.capacity - fill
-        self.by_room[room].append(number)
-        self.rooms |= 1 << room
-
-    def place(self, size: int, number: int) -> tuple[int, int]:
-        """(bin, offset) for an item; `number` names the bin if a new one is needed."""
-        fit = self.rooms >> size
-        if not fit:
-            self._enter(number, size)
-            return number, 0
-        room = size + (fit & -fit).bit_length() - 1
-        host = self.by_room[room].pop()
-        if not self.by_room[room]:
-            self.rooms &= ~(1 << room)
-        at = self.capacity - room
-        self._enter(host, at + size)
-        return host, at
-
-    def full(self, slack: int) -> set[int]:
-        """Bins with no more room than `slack`."""
-        return {b for room in range(min(slack, self.capacity) + 1) for b in self.by_room[room]}
-
-
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     """Best-fit in decreasing order of counts[size] items of each size. Returns rows
     (size, first, bin, each, offset): from the `first` item of the size on, bins from
@@ -193,20 +166,56 @@ def _tokenise(path: str, capacity: int, end_id: int):
     return run
 
 
-def _look_up(rows: np.ndarray):
-    """Puts pieces with a rank among those of their length where the plan says."""
-    size, first, host, each, offset = rows.T
-    order = np.argsort(size << RANK_BITS | first)
-    size, first, host, each, offset = (x[order] for x in (size, first, host, each, offset))
-    begins = size << RANK_BITS | first
+def place_all(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of every item by best-fit in decreasing order."""
+    kinds, own, counts = np.unique(sizes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(sizes), np.int64)
+    rank[np.argsort(own, kind="stable")] = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = plan(dict(zip(kinds.tolist(), counts.tolist(), strict=True)), capacity)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    span = len(sizes) + 1
+    row = np.searchsorted(rows[:, 0] * span + rows[:, 1], sizes * span + rank, side="right") - 1
+    _, first, host, each, offset = rows[row].T
+    beyond = rank - first
+    return host + beyond // each, offset + beyond % each * sizes
+
+
+def handed_on(fills: np.ndarray, capacity: int, rounds: int) -> np.ndarray:
+    """Which bins of a group go on, with so many rounds to come: those with room, of
+    equal room no more than can be used."""
+    order = np.argsort(fills, kind="stable")
+    _, first, counts = np.unique(fills[order], return_index=True, return_counts=True)
+    nth = np.empty(len(fills), np.int64)
+    nth[order] = np.arange(len(fills)) - np.repeat(first, counts)
+    return (fills < capacity) & (nth < FAN_IN * rounds)
+
+
+def _pack_partition(capacity: int, rounds: int):
+    """Best-fit of one partition's pieces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        length, group = table["length"].to_numpy(), int(table["grp"][0].as_py())
+        bins, offset = place_all(length, capacity)
+        fills = np.bincount(bins, weights=length).astype(np.int64)
+        new = {"bin": (group << 32) + bins, "offset": offset, "fill": fills[bins], "open": handed_on(fills, capacity, rounds)[bins]}
+        return pa.table([pa.array(new[c]) if c in new else table[c] for c in _PACKED.names], schema=_PACKED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch[c].to_numpy() for c in ("length", "rank"))
-            row = np.searchsorted(begins, length << RANK_BITS | rank, side="right") - 1
-            beyond = rank - first[row]
-            new = {"bin": host[row] + beyond // each[row], "offset": offset[row] + beyond % each[row] * length}
-            yield pa.RecordBatch.from_arrays([pa.array(new[c]) if c in new else batch[c] for c in _PLACED.names], schema=_PLACED)
+    return run
+
+
+def _merge(capacity: int, rounds: int):
+    """Best-fit of the underfull bins that meet in one group, the fullest first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, first, own = np.unique(table["host"].to_numpy(), return_index=True, return_inverse=True)
+        fills = table["fill"].to_numpy()[first]
+        bins, offset = place_all(fills, capacity)
+        host = np.empty(bins.max() + 1, np.int64)
+        host[bins[offset == 0]] = names[offset == 0]
+        filled = np.bincount(bins, weights=fills).astype(np.int64)
+        goes_on = handed_on(filled, capacity, rounds)
+        new = {"host": host[bins][own], "shift": table["shift"].to_numpy() + offset[own], "fill": filled[bins][own], "open": goes_on[bins][own]}
+        return pa.table([pa.array(new[c]) if c in new else table[c] for c in _MOVED.names], schema=_MOVED)
 
     return run
 
@@ -227,10 +236,30 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "packing")
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    pieces = scratch.write(source.mapInArrow(_tokenise(path, capacity, end_id), _DDL), "pieces")
-    by_group = scratch.write(pieces.groupBy("grp", "length").agg(F.count("*").alias("n")), "counts")
-    counts = {r[0]: r[1] for r in by_group.groupBy("length").agg(F.sum("n")).collect()}
+    pieces = scratch.write(source.mapInArrow(_tokenise(path, capacity, end_id), _PIECE_DDL), "pieces")
+    by_task = scratch.write(pieces.groupBy("grp", "length").agg(F.count("*").alias("n")), "counts")
+    groups = -(-(by_task.agg(F.sum("n")).first()[0] or 1) // PIECES)
+    rounds = 0
+    while FAN_IN**rounds < groups:
+        rounds += 1
+    # The nth piece of a length goes to the nth partition from one given by the length.
     before = F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")
-    ranked = pieces.join(by_group.select("grp", "length", before.alias("before")), ["grp", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    packed = ranked.mapInArrow(_look_up(plan(counts, capacity)), _PLACED_DDL)
-    return packed.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    ranked = pieces.join(by_task.select("grp", "length", before.alias("before")), ["grp", "length"])
+    dealt = ranked.withColumn("grp", F.pmod(F.xxhash64("length") + F.col("before") + F.col("nth"), F.lit(groups)))
+    packed = scratch.write(dealt.groupBy("grp").applyInArrow(_pack_partition(capacity, rounds), _PACKED_DDL), "packed")
+    underfull = packed.where("open AND offset = 0").select("bin", F.col("bin").alias("host"), F.lit(0).cast("long").alias("shift"), "fill", "grp", "open")
+    moved = None
+    for turn in range(rounds):
+        smallest = underfull.agg(F.min("fill")).first()[0] or 0
+        met = underfull.where(F.col("fill") + smallest <= capacity).withColumn("grp", F.floor(F.col("grp") / FAN_IN).cast("long"))
+        stays = underfull.where((F.col("fill") + smallest > capacity) & (F.col("bin") != F.col("host")))
+        merged = scratch.write(met.groupBy("grp").applyInArrow(_merge(capacity, rounds - turn - 1), _MOVED_DDL), f"round-{turn}")
+        done = stays.unionByName(merged.where("NOT open AND bin != host")).select("bin", "host", "shift")
+        moved = done if moved is None else moved.unionByName(done)
+        underfull = merged.where("open")
+    if moved is not None:
+        packed = packed.join(moved, "bin", "left")
+    else:
+        packed = packed.withColumns({"host": F.lit(None).cast("long"), "shift": F.lit(0).cast("long")})
+    at = F.col("offset") + F.coalesce("shift", F.lit(0).cast("long"))
+    return packed.select(F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", F.coalesce("host", "bin").alias("sequence_id"), at.alias("offset"))
