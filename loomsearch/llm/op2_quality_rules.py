@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: ASCII white space, and the words between it.
 BLANKS = " \t\n\x0b\f\r"
 SPLIT = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+#: The first symbol of a word, looked for from the word's start only and without
+#: going back, so that time is linear in the line however long its words are.
+ODD_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>{}]*+[#*$%&|<>{}]"
 
 #: Phrases of lines that are the same on every page.
 BOILERPLATE = (
@@ -73,7 +75,7 @@ def line_verdict(line: Column) -> Column:
         fragment = (n < FRAGMENT_WORDS) & ~ends
         shouting = F.contains(bare, F.lit("!!")) & (F.upper(bare) == bare)
         # Words are looked at for symbols only in lines that have any.
-        odd = F.size(F.split(bare, r"\S*[#*$%&|<>{}]+\S*")) - 1
+        odd = F.regexp_count(bare, F.lit(ODD_WORD))
         navigation = F.when(F.regexp_like(bare, F.lit("[#*$%&|<>{}]")), odd > SYMBOL_SHARE * n).otherwise(F.lit(False))
         return F.when(fragment, -n).when(shouting, -n).when(navigation, -n).when(_bound(F.lower(line), boilerplate), -n).otherwise(n)
 

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -37,6 +38,14 @@ def test_lines_that_fail_go_and_clean_ones_stay(spark):
     assert not judged(spark, PROSE).kept and judged(spark, PROSE).base_failed
 
 
+def test_long_unbroken_words_take_linear_time(spark):
+    long = "a | b " + "x" * 1_000_000 + " " + "#" * 1_000_000 + " " + "y" * 1_000_000 + "% end"
+    begin = time.time()
+    r = judged(spark, "\n".join([long, *(" ".join(f"{w}{i}" for w in PROSE[:-1].split()) + "." for i in range(6))]))
+    # Of seven words, three hold symbols.
+    assert r.n_lost_words == 7 and r.kept and time.time() - begin < 30
+
+
 def test_empty_tables(spark):
     assert line_quality(messy.empty(spark)).count() == 0
     forest = train_forest(labelled_findings(spark))
