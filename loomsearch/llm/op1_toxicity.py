@@ -26,6 +26,8 @@ LENGTHS = (3, 4, 5)
 #: Labelled rows that the classifier is fitted on, at most: those whose id has the
 #: smallest hash.
 TRAINING_ROWS = 12_000
+#: Tasks that the sample is dealt to.
+TRAINING_TASKS = 24
 #: Features with the clearest log-count ratio that are kept, and the texts that must
 #: have one.
 KEPT_FEATURES, LEAST_TEXTS = 4096, 3
@@ -80,15 +82,16 @@ def _strings(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    """(place, clean, toxic): texts of either label in which each n-gram is present."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
         labels = batch["label"].to_numpy()
-        rows += np.bincount(labels, minlength=2)
         for a, b, texts in _strings(as_array(batch["text"])):
             owner, place = present(texts)
             for label in (0, 1):
                 counts[label] += np.bincount(place[labels[a:b][owner] == label], minlength=1 << BITS)
-    yield pa.record_batch([pa.array([counts.tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], ["counts", "rows"])
+    found = np.flatnonzero(counts.any(axis=0))
+    yield pa.record_batch([pa.array(found), pa.array(counts[0, found]), pa.array(counts[1, found])], ["place", "clean", "toxic"])
 
 
 def _sparse(kept: np.ndarray):
@@ -157,9 +160,12 @@ def _regress(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> t
 def fit(labelled: DataFrame) -> Classifier:
     """Fits on labelled(text, label 0 or 1), which the caller has bounded."""
     counts, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    for row in labelled.mapInArrow(_count, "counts binary, rows binary").toLocalIterator():
-        counts += np.frombuffer(row["counts"], np.int64).reshape(2, -1)
-        rows += np.frombuffer(row["rows"], np.int64)
+    for row in labelled.groupBy("label").count().collect():
+        rows[row["label"]] = row["count"]
+    # Summed on the executors, so no more than the table's places come to the driver.
+    summed = labelled.mapInArrow(_count, "place long, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    for label, name in enumerate(("clean", "toxic")):
+        counts[label, summed["place"].to_numpy()] = summed[name].to_numpy()
     ratio, best = log_count_ratio(counts, rows)
     kept = np.zeros(1 << BITS, bool)
     kept[best] = True
@@ -202,7 +208,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     chosen = hashed_sample(known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")), TRAINING_ROWS, "id")
-    training = scratch.write(source.join(F.broadcast(chosen), "id").select("text", "label").repartition(6), "training")
+    training = scratch.write(source.join(F.broadcast(chosen), "id").select("text", "label").repartition(TRAINING_TASKS), "training")
     model = fit(training)
     scratch.drop("training")
     scored = source.mapInArrow(_scores(model), "id long, score double")

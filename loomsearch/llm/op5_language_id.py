@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .op1_toxicity import ngrams
+from .op1_toxicity import TRAINING_TASKS, ngrams
 from .store import Scratch
 from .words import as_array, slices
 
@@ -90,7 +90,8 @@ def _count(languages: list[str]):
             for a, b in slices(texts, 1 << 20):
                 for place, owner in ngrams(texts.slice(a, b - a).to_pylist(), LENGTHS, BITS):
                     counts += np.bincount((own[a:b][owner] << BITS) | place, minlength=counts.size).reshape(counts.shape)
-        yield pa.record_batch([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+        found = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(found), pa.array(counts.ravel()[found])], ["cell", "n"])
 
     return run
 
@@ -99,8 +100,9 @@ def fit(labelled: DataFrame, languages: list[str]) -> np.ndarray:
     """Log-probabilities (languages x places) of hashed character n-grams in
     labelled(lang, text), which the caller has bounded."""
     counts = np.zeros((len(languages), 1 << BITS))
-    for row in labelled.mapInArrow(_count(languages), "counts binary").toLocalIterator():
-        counts += np.frombuffer(row["counts"], np.int64).reshape(counts.shape)
+    # Summed on the executors, so no more than the model's cells come to the driver.
+    summed = labelled.mapInArrow(_count(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts.ravel()[summed["cell"].to_numpy()] = summed["n"].to_numpy()
     counts += 0.1
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -165,7 +167,7 @@ def identify_languages(pages: DataFrame, labelled: DataFrame, id_col: str = "pag
         key = F.coalesce(labelled[label_id_col].cast("string"), key)
     known = labelled.select(key.alias("key"), labelled[text_col].cast("string").alias("text"), labelled[lang_col].cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     sample, languages = training_sample(known)
-    sample = scratch.write(sample.repartition(6), "sample")
+    sample = scratch.write(sample.repartition(TRAINING_TASKS), "sample")
     url, markup = F.coalesce(pages[url_col].cast("string"), F.lit("")), F.coalesce(pages[html_col].cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     source = pages.select(
