@@ -3,8 +3,10 @@
 Each group of equal texts is a vector of bytes, tokens and rows. Groups are dealt to
 cells by the hash of their text; each cell packs its groups, largest first, into bins,
 taking for each group the bin whose residual capacity has the highest dot product with
-it. The bins of all cells, of which there are at most MOST_CELLS * BINS, are packed
-into the shards on the driver in the same way. A group larger than a shard's fair share
+it. Cells hold a fixed number of groups, so there are more of them in a larger table;
+while there are more than MOST_CELLS, the bins of neighbouring cells are packed once
+more, as groups of a larger cell. The bins of the last level, of which there are at
+most MOST_CELLS * BINS, are packed into the shards on the driver. A group larger than a shard's fair share
 in any of the three is cut into as few parts as fit; there are fewer than three times
 as many such groups as shards, which bounds what is broadcast.
 """
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-BINS, MOST_CELLS, GROUPS_PER_CELL = 256, 1024, 20_000
+#: Bins of a cell; groups of a cell; cells whose bins meet in one cell of the level
+#: above; cells of the last level.
+BINS, GROUPS_PER_CELL, CELLS_PER_CELL, MOST_CELLS = 256, 20_000, 64, 1024
 _SIZES = ["bytes", "tokens", "rows"]
 
 
@@ -111,19 +115,27 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", t
     large = groups.select("key_a", "key_b", F.ceil(share).cast("int").alias("parts")).where("parts > 1")
     part = F.coalesce(F.pmod(F.xxhash64("id", "size"), F.col("parts")), F.lit(0)).cast("int")
     parted = rows.join(F.broadcast(large), ["key_a", "key_b"], "left").withColumn("part", part).drop("parts")
-    cells = min(MOST_CELLS, max(16, totals["n"] // GROUPS_PER_CELL + 1))
+    cells = max(16, totals["n"] // GROUPS_PER_CELL + 1)
     units = parted.groupBy("key_a", "key_b", "part").agg(*sums).withColumn("cell", F.pmod(F.xxhash64("key_a", "part"), F.lit(cells)))
-    binned = scratch.write(units.groupBy("cell").applyInArrow(_place_cell, "key_a long, key_b long, part int, bytes long, tokens long, rows long, cell long, bin long"), "binned")
-    bins = binned.groupBy("cell", "bin").agg(*[F.sum(c).alias(c) for c in _SIZES]).orderBy("cell", "bin").toPandas()
+    sized = "bytes long, tokens long, rows long, cell long, bin long"
+    levels = [scratch.write(units.groupBy("cell").applyInArrow(_place_cell, f"key_a long, key_b long, part int, {sized}"), "binned")]
+    while cells > MOST_CELLS:
+        below = levels[-1].groupBy(F.col("cell").alias("sub_cell"), F.col("bin").alias("sub_bin")).agg(*[F.sum(c).alias(c) for c in _SIZES])
+        below = below.withColumn("cell", F.floor(F.col("sub_cell") / CELLS_PER_CELL).cast("long"))
+        levels.append(scratch.write(below.groupBy("cell").applyInArrow(_place_cell, f"sub_cell long, sub_bin long, {sized}"), f"binned-{len(levels)}"))
+        cells = -(-cells // CELLS_PER_CELL)
+    bins = levels[-1].groupBy("cell", "bin").agg(*[F.sum(c).alias(c) for c in _SIZES]).orderBy("cell", "bin").toPandas()
     vectors = bins[_SIZES].to_numpy(float).reshape(-1, 3)
     bins["shard"] = even_out(vectors, place(vectors, n_shards), n_shards)
-    of_bin = docs.sparkSession.createDataFrame(bins[["cell", "bin", "shard"]], "cell long, bin long, shard int")
-    of_unit = binned.select("key_a", "key_b", "part", "cell", "bin").join(F.broadcast(of_bin), ["cell", "bin"]).drop("cell", "bin")
+    of_bin = F.broadcast(docs.sparkSession.createDataFrame(bins[["cell", "bin", "shard"]], "cell long, bin long, shard int"))
+    for above in reversed(levels[1:]):
+        of_bin = above.select("sub_cell", "sub_bin", "cell", "bin").join(of_bin, ["cell", "bin"]).select(F.col("sub_cell").alias("cell"), F.col("sub_bin").alias("bin"), "shard")
+    of_unit = levels[0].select("key_a", "key_b", "part", "cell", "bin").join(of_bin, ["cell", "bin"]).drop("cell", "bin")
     dealt = parted.join(of_unit, ["key_a", "key_b", "part"]).select("id", "size", "tokens", "text_crc32", "shard")
     numbered = scratch.write(dealt.mapInArrow(_number_rows(n_shards), "id long, size long, tokens long, text_crc32 long, shard int, nth long, part_of long"), "numbered")
     # One row for each partition and shard, summed up in the order of the partitions.
     earlier = Window.partitionBy("shard").orderBy("part_of").rowsBetween(Window.unboundedPreceding, -1)
     before = numbered.groupBy("part_of", "shard").count().select("part_of", "shard", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     result = scratch.write(numbered.join(before, ["part_of", "shard"]).select(F.col("id").alias(id_col), "size", "tokens", "text_crc32", "shard", (F.col("nth") + F.col("before")).alias("slot")), "result")
-    scratch.drop("rows", "groups", "binned", "numbered")
+    scratch.drop("rows", "groups", "binned", *(f"binned-{i}" for i in range(1, len(levels))), "numbered")
     return result

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from . import messy
+from loomsearch.llm import op7_sharding
 from loomsearch.llm.op1_toxicity import ngrams, present, score_toxicity
 from loomsearch.llm.op5_language_id import ROWS_PER_LANGUAGE, TRAINING_ROWS, declared_language, identify_languages, rows_per_language, visible_text
 from loomsearch.llm.op7_sharding import assign_shards, even_out, place
@@ -111,6 +112,19 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert 1 < len({r.shard for r in got if r.doc_id >= 6000}) <= 8
 
 
+def test_more_cells_than_one_level_takes(spark, monkeypatch):
+    for name, value in (("GROUPS_PER_CELL", 20), ("CELLS_PER_CELL", 3), ("MOST_CELLS", 4), ("BINS", 8)):
+        monkeypatch.setattr(op7_sharding, name, value)
+    rng = random.Random(4)
+    data = [(i, messy.sentence(rng, rng.randint(1, 60))) for i in range(900)] + [(5000 + i, "copies of one text") for i in range(60)]
+    got = assign_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 4).collect()
+    sound(got, 4)
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in data)
+    assert len({r.shard for r in got if r.doc_id >= 5000}) == 1
+    sizes = np.bincount([r.shard for r in got], weights=[r["size"] for r in got], minlength=4)
+    assert sizes.max() / sizes.min() < 1.1
+
+
 def test_place_balances_all_sizes():
     items = np.array([[8, 1, 1]] * 8 + [[1, 8, 1]] * 8 + [[1, 1, 8]] * 8, float)
     bins = place(items, 4)
