@@ -35,7 +35,11 @@ _LAST = np.iinfo(np.int64).max
 #: rows let about 3 % of the windows that occur once through to the exact pass.
 CELLS = 1 << 23
 WINDOWS_PER_SHARD = 1_500_000
-BLOCK_BYTES = 2 << 20
+#: Text of a block at least and at most. Between the two, blocks grow with the corpus,
+#: so that a message from a block to a shard holds some hundred windows or more.
+BLOCK_BYTES, MOST_BLOCK_BYTES = 2 << 20, 16 << 20
+#: Bytes of blocks in a bucket of their table.
+BUCKET_BYTES = 64 << 20
 
 _BLOCK = pa.schema([("block", pa.int64()), ("n_windows", pa.int64()), ("body", pa.binary())])
 _MAIL = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
@@ -125,12 +129,19 @@ def _read(body: bytes) -> tuple[pa.Array, np.ndarray, pa.Array]:
     return given, given.fill_null(_LAST).to_numpy(), as_array(table["text"])
 
 
-def _write_blocks(n: int):
+def block_bytes(total: int) -> int:
+    """Bytes of a block for so many bytes of text. A block of b bytes sends a message
+    to each of total / s shards of s bytes, each of b * s / total bytes of windows."""
+    shard = 6 * WINDOWS_PER_SHARD
+    return int(min(max(BLOCK_BYTES, total / shard * 2048), MOST_BLOCK_BYTES))
+
+
+def _write_blocks(n: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = as_array(batch["text"])
-            for a, b in slices(texts, BLOCK_BYTES):
+            for a, b in slices(texts, most):
                 part = texts.slice(a, b - a)
                 counts = Words(part).counts()
                 body = _body(pa.table({"id": batch["id"].slice(a, b - a), "text": part}))
@@ -262,9 +273,10 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     further columns of docs play no part and are not returned.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
-    spread = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    blocks = scratch.write_bucketed(source.mapInArrow(_write_blocks(window), "block long, n_windows long, body binary"), "blocks", "block", spread)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spread = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    blocks = scratch.write_bucketed(source.mapInArrow(_write_blocks(window, block_bytes(size)), "block long, n_windows long, body binary"), "blocks", "block", spread)
     total = blocks.agg(F.sum("n_windows")).first()[0] or 0
     n_shards = max(spread, total // WINDOWS_PER_SHARD + 1)
     mail = "shard long, block long, body binary"
