@@ -7,9 +7,9 @@ the id, so a list may have any number of vectors.
 GraphIndex: vectors are dealt to shards of bounded size by the nearest of as many
 centroids as there are shards, a shard that would be too large once more by the hash of
 the id. Each shard has a proximity graph of its own: every node is joined with a diverse
-choice of its ef_construction nearest, at most 2 m of them. One node in m also belongs
-to an upper layer, which is searched whole; from its best nodes a query follows the
-graph with a beam of ef. A query goes to the shards of its nearest centroids, in blocks
+choice of its ef_construction nearest, at most 2 m of them. A node's level is drawn by
+the hash of its id, so that one in m has a level above 0; these are searched whole, and
+from the best of them a query follows the graph with a beam of ef. A query goes to the shards of its nearest centroids, in blocks
 of queries that walk in step, and the best of all shards are merged.
 """
 
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ SAMPLE_ROWS, MOST_LISTS = 20_000, 4096
 BLOCK_ROWS, SHARD_ROWS = 50_000, 5_000
 #: Shards of a graph that a query goes to, and queries that walk in step.
 PROBES, WALKERS = 16, 256
-#: Nodes of the upper layer from which a walk sets out.
+#: Nodes of the upper levels from which a walk sets out.
 ENTRIES = 16
 
 
@@ -153,6 +154,17 @@ def proximity_graph(rows: np.ndarray, m: int, ef_construction: int) -> list[list
     return out
 
 
+def random_levels(ids: list, m: int) -> np.ndarray:
+    """floor(-ln(u) / ln(m)) of each id, with u in (0, 1) by its hash."""
+    u = (np.array([xxhash.xxh3_64_intdigest(str(i)) for i in ids], np.float64) + 0.5) / 2.0**64
+    return np.floor(-np.log(u) / np.log(max(m, 2))).astype(np.int32)
+
+
+def top_nodes(levels: np.ndarray) -> np.ndarray:
+    """The nodes above level 0, or all where there are none."""
+    return np.flatnonzero(levels > 0) if (levels > 0).any() else np.arange(len(levels))
+
+
 def padded(near: list[list[int]]) -> np.ndarray:
     """Neighbours as rows of equal length, filled up with -1."""
     out = np.full((len(near), max(map(len, near), default=1) or 1), -1, np.int32)
@@ -210,7 +222,7 @@ def beam_search(queries: np.ndarray, rows: np.ndarray, near: np.ndarray, upper:
 
 @dataclass(frozen=True)
 class GraphIndex:
-    """nodes: (shard, node, id, embedding, neighbours, upper), embeddings of length one;
+    """nodes: (shard, node, id, embedding, neighbours, level), embeddings of length one;
     centres: the centroid of each of the shards, where there are several; a shard whose
     centroid is not a number is asked by every query."""
 
@@ -240,15 +252,17 @@ class GraphIndex:
         def build_shard(table: pa.Table) -> pa.Table:
             table = table.sort_by("id").combine_chunks()
             rows = unit_rows(matrix(table["embedding"].chunk(0), dim))
-            upper = np.zeros(len(rows), bool)
-            upper[np.random.default_rng(0).permutation(len(rows))[: len(rows) // m + 1]] = True
             near = proximity_graph(rows, m, ef_construction)
-            return pa.table([table["shard"], pa.array(np.arange(len(rows))), table["id"], pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32())), pa.array(near, pa.list_(pa.int64())), pa.array(upper)], ["shard", "node", "id", "embedding", "neighbours", "upper"])
+            return pa.table([table["shard"], pa.array(np.arange(len(rows))), table["id"], pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32())), pa.array(near, pa.list_(pa.int64())), pa.array(random_levels(table["id"].to_pylist(), m))], ["shard", "node", "id", "embedding", "neighbours", "level"])
 
-        ddl = f"shard long, node long, id {kind}, embedding array<float>, neighbours array<long>, upper boolean"
+        ddl = f"shard long, node long, id {kind}, embedding array<float>, neighbours array<long>, level int"
         nodes = dealt.select("shard", "id", "embedding").groupBy("shard").applyInArrow(build_shard, ddl)
         return GraphIndex(nodes, dim, ef_search, shards, centres)
 
+    def max_level(self) -> DataFrame:
+        """The highest level in each shard."""
+        return self.nodes.groupBy("shard").agg(F.max("level").alias("max_level"))
+
     def candidates(self, queries: DataFrame, beam: int, k: int | None = None, probes: int = PROBES) -> DataFrame:
         """(qid, id, score, shard) of the k best (or all) of the beam in each shard that
         a query goes to."""
@@ -279,7 +293,7 @@ class GraphIndex:
             if q.num_rows and v.num_rows:
                 exact = matrix(v["embedding"].chunk(0), dim)
                 rows, near = exact.astype(np.float32), padded(v["neighbours"].to_pylist())
-                upper = np.flatnonzero(np.asarray(v["upper"].to_pylist(), bool))
+                upper = top_nodes(v["level"].to_numpy())
                 asking = unit_rows(matrix(q["embedding"].chunk(0), dim))
                 for a in range(0, len(asking), WALKERS):
                     part = asking[a : a + WALKERS]

@@ -95,6 +95,13 @@ f2 AS (SELECT f1.*, d.lang, d.n_chars FROM f1 JOIN documents d ON d.doc_id = f1.
 SELECT * FROM (SELECT qid, id, score, CAST(coalesce(bm25_rank, 0) AS INTEGER) AS bm25_rank, CAST(coalesce(vector_rank, 0) AS INTEGER) AS vector_rank, lang, n_chars, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM f2) WHERE rank <= {k}"""
 
 
+def _with_text_ids(sql: str) -> str:
+    """The SQL of a search with ids as texts, as collections have them."""
+    for name in ("doc_id AS id", "vec_id AS id"):
+        sql = sql.replace(name, f"CAST({name.split()[0]} AS VARCHAR) AS id")
+    return sql.replace("f.doc_id = p.id", "CAST(f.doc_id AS VARCHAR) = p.id").replace("d.doc_id = f1.id", "CAST(d.doc_id AS VARCHAR) = f1.id")
+
+
 #: White space in the sense of Unicode, for RE2.
 _EDGE = r"^[\s\p{Z}\x1C-\x1F\x0B\x{85}]+|[\s\p{Z}\x1C-\x1F\x0B\x{85}]+$"
 
@@ -124,7 +131,12 @@ def _products() -> str:
     return _PRODUCTS.format(**{k: f"[{_quoted(*v)}]" for k, v in lists.items()}, nb=len(BRANDS), na=len(ADJECTIVES), nn=len(NOUNS), nc=len(CATEGORIES))
 
 
+#: The best score of a query that is a vector itself.
+NEAREST = f"WITH {_vector(EVERY_20TH, 1)} SELECT qid, score FROM vec"
+
+
 def oracle_sql() -> dict[str, str]:
+    in_collection = "WHERE lang = 'en' AND n_chars >= 500 AND n_chars <= 5000"
     return {
         "tokenize_counts": f"WITH {INDEX} SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY term",
         "tokenize_plain": f"SELECT doc_id AS id, array_to_string({tokens('text', False)}, ' ') AS tokens FROM documents",
@@ -134,16 +146,22 @@ def oracle_sql() -> dict[str, str]:
         "vocab_size": f"WITH {INDEX} SELECT count(*) AS vocab_size FROM dfs",
         "term_stats": f"WITH {INDEX} SELECT term, df, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE), 6) AS idf FROM dfs CROSS JOIN stats",
         "term_freq": f"WITH {INDEX} SELECT id, CAST(tf AS INTEGER) AS tf FROM postings WHERE term = (SELECT (tokens)[1] FROM (SELECT {tokens("'disgusting'")} AS tokens))",
+        "index_contains": "SELECT 2 * vec_id AS id, 2 * vec_id IN (SELECT doc_id FROM documents) AS held FROM embeddings",
         "index_ids": "SELECT doc_id AS id FROM documents",
         "bm25_topk": f"WITH {_bm25(FIRST, 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM bm25",
         "bm25_batch": f"WITH {_bm25(BENCHMARK, 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM bm25",
         "bm25_after_remove": f"WITH {_bm25(BENCHMARK, 10).replace('FROM documents)', 'FROM documents WHERE doc_id % 3 <> 0)', 1)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM bm25",
         "vector_topk": f"WITH {_vector(EVERY_20TH + ' AND vec_id = 0', 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM vec",
         "vector_batch": f"WITH {_vector(EVERY_20TH, 10)} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM vec",
-        "vector_functions": "SELECT vec_id AS id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, w), 6) AS dot, round(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 6) AS cosine FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(list_reverse(embedding) AS DOUBLE[]) AS w FROM embeddings)",
+        "vector_functions": "SELECT vec_id AS id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, w), 6) AS dot, round(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 6) AS cosine, round(1 - list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)), 6) AS distance, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first_of_unit FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(list_reverse(embedding) AS DOUBLE[]) AS w FROM embeddings)",
         "hybrid_half": _hybrid(0.5, 10),
         "hybrid_keyword_only": _hybrid(0.0, 10),
         "hybrid_vector_only": _hybrid(1.0, 10),
+        "hybrid_without_vectors": _hybrid(0.0, 10),
+        "collection_search": f"SELECT qid, CAST(id AS BIGINT) AS id, score, bm25_rank, vector_rank, lang, n_chars FROM ({_with_text_ids(_hybrid(0.5, 10, in_collection, 'TRUE'))})",
+        "ann_ivf_nearest": NEAREST,
+        "ann_graph_nearest": NEAREST,
+        "ann_graph_levels": "SELECT vec_id AS id, true AS has_level, true AS bounded, CAST(1.0 AS DOUBLE) AS norm FROM embeddings WHERE list_dot_product(embedding, embedding) > 0",
         "hybrid_filtered": _hybrid(0.5, 10, "WHERE lang = 'en' AND n_chars >= 500 AND n_chars <= 5000"),
         "hybrid_prefiltered": _hybrid(0.5, 10, "", "f.lang = 'en' AND f.n_chars >= 500"),
         "filter_equal": f"SELECT {_DOC} FROM documents WHERE lang = 'fr'",
@@ -155,17 +173,25 @@ def oracle_sql() -> dict[str, str]:
         "filter_missing": "SELECT event_id AS id, event_type FROM events WHERE event_type IS DISTINCT FROM 'click'",
         "filter_unknown": f"SELECT {_DOC} FROM documents",
         "filter_json": "SELECT event_id AS id, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 50 AND user_id >= 0",
+        "filter_cross_type": "SELECT event_id AS id, event_type FROM events WHERE user_id >= 500 AND event_type < 'd'",
         "chunk_fixed": _chunks(512, 64, 20),
         "chunk_small": _chunks(50, 10, 20),
         "page_docs": f"SELECT {_DOC} FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100",
         "point_lookup": f"SELECT {_DOC} FROM documents WHERE doc_id = 42",
         "upsert_latest": "SELECT user_id AS id, event_id AS seq, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
         "delete_antijoin": f"SELECT {_DOC} FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label = 3)",
-        "collection_stats": "SELECT (SELECT count(*) FROM documents) AS doc_count, (SELECT count(*) FROM embeddings) AS vector_count, CAST(64 AS INTEGER) AS embedding_dim",
-        "catalog_totals": "SELECT CAST(count(*) AS BIGINT) AS collections, CAST(sum(n) AS BIGINT) AS documents FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)",
-        "recall_exact": "SELECT CAST(1.0 AS DOUBLE) AS mean_recall",
+        "preview_docs": "SELECT CAST(doc_id AS VARCHAR) AS id, ['lang: ' || left(lang, 60), 'source: ' || left(source, 60), 'n_chars: ' || left(CAST(n_chars AS VARCHAR), 60)] AS preview FROM documents ORDER BY doc_id LIMIT 20",
+        "vector_changes": "SELECT vec_id AS id, round(CASE WHEN vec_id % 5 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END, 5) AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id % 7 <> 0 AND vec_id <> 1",
+        "collection_stats": f"WITH {INDEX} SELECT (SELECT count(*) FROM documents) AS doc_count, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS vector_count, (SELECT count(*) FROM dfs) AS vocab_size, CAST(64 AS INTEGER) AS embedding_dim, 'brute_force' AS index_type",
+        "catalog_names": "SELECT DISTINCT lang AS name FROM documents",
+        "catalog_totals": "SELECT (SELECT count(DISTINCT lang) FROM documents) AS collections, (SELECT count(*) FROM documents) AS doc_count, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS vector_count, CAST(1 AS BIGINT) AS query_count",
+        "recall_half": f"WITH {_vector(EVERY_20TH, 10)} SELECT round(avg(hits), 6) AS mean_recall FROM (SELECT qid, count(*) FILTER (WHERE id % 2 = 0) / count(*) AS hits FROM vec GROUP BY qid)",
+        "job_progress": "SELECT 'done_with_errors' AS status, count(*) AS total, count(*) FILTER (WHERE lang <> top) AS done, count(*) FILTER (WHERE lang = top) AS errors, 'no ' || any_value(top) AS error_msg, round(count(*) FILTER (WHERE lang <> top) / count(*), 6) AS progress, true AS absent FROM documents CROSS JOIN (SELECT max(lang) AS top FROM documents)",
+        "json_documents": "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS text, CAST(n_regionkey AS BIGINT) AS region FROM nation",
+        "engine_documents": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS place, 'n' || n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'REPLACED' ELSE n_name END AS name, (SELECT count(*) - 1 FROM nation) AS total, 'done_with_errors' AS status, (SELECT count(*) FROM nation) AS done, CAST(1 AS BIGINT) AS errors, 'n3' AS best, true AS timed FROM nation WHERE n_nationkey <> 5",
+        "metrics_sink": "SELECT count(*) AS documents, count(DISTINCT lang) AS languages FROM documents",
         "latency_percentiles": "SELECT event_type, list_sort(v)[least(CAST(floor(len(v) * 50.0 / 100) AS BIGINT), len(v) - 1) + 1] AS p50, list_sort(v)[least(CAST(floor(len(v) * 95.0 / 100) AS BIGINT), len(v) - 1) + 1] AS p95, list_sort(v)[least(CAST(floor(len(v) * 99.0 / 100) AS BIGINT), len(v) - 1) + 1] AS p99 FROM (SELECT event_type, list(value) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)",
         "synthetic_products": _products(),
-        "ingest_counters": "SELECT count(*) FILTER (WHERE length(text) > 0) AS indexed, count(*) FILTER (WHERE text IS NULL OR length(text) = 0) AS errors FROM documents",
+        "ingest_counters": f"SELECT (SELECT count(*) FROM documents WHERE doc_id % 7 <> 0) AS indexed, (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS errors, count(*) AS chunks, CAST(0 AS BIGINT) AS embed_errors, count(*) AS held FROM ({_chunks(512, 64, 20)}) WHERE CAST(parent_id AS BIGINT) % 7 <> 0",
         "stream_ingest": "SELECT doc_id AS id, text FROM documents",
     }

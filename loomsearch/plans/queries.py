@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions.filters import TypedFields, VariantFields, predicate
 from ..functions.text import tokens
-from ..functions.vector import cosine, dot, norm
+from ..functions.vector import cosine, cosine_distance, dot, norm, normalised
 from ..operators.ann import GraphIndex, IvfIndex
 from ..operators.bm25 import bm25_search
 from ..operators.chunking import chunk_documents
 from ..operators.embedding import HashingProvider, embed
-from ..operators.evaluation import floor_percentile, mean_recall
+from ..operators.evaluation import floor_percentiles, mean_recall
 from ..operators.postings import KeywordIndex, build_index, latest
 from ..operators.vector_search import exact_search
+from ..sources.catalog import CollectionConfig, CollectionStore
+from ..sources.files import Files, read_json_documents, working_folder, write_metrics
+from ..sources.partitions import spread
 from ..sources.synthetic import products
+from ..streaming.ingest import IngestionPipeline, enqueue_table
+from ..streaming.jobs import JobTracker
 from .search import hybrid_search
 
 DIM = 64
@@ -66,7 +73,7 @@ def tokenize_counts(spark, sf_dir):
 
 
 def tokenize_plain(spark, sf_dir):
-    return documents(spark, sf_dir).select("id", F.array_join(tokens(F.col("text"), stemming=False), " ").alias("tokens"))
+    return spread(documents(spark, sf_dir).select("id", "text")).select("id", F.array_join(tokens(F.col("text"), stemming=False), " ").alias("tokens"))
 
 
 def unique_terms(spark, sf_dir):
@@ -90,8 +97,14 @@ def term_stats(spark, sf_dir):
 
 
 def term_freq(spark, sf_dir):
-    first = F.get(tokens(F.lit("disgusting")), F.lit(0))
-    return keyword_index(spark, sf_dir).postings.where(F.col("term") == first).select("id", "tf")
+    return keyword_index(spark, sf_dir).term_freqs("disgusting")
+
+
+def index_contains(spark, sf_dir):
+    """Whether the documents after those of the table's first numbers are indexed, by
+    twice the id of every vector."""
+    asked = vectors(spark, sf_dir).select((2 * F.col("id")).alias("id"))
+    return keyword_index(spark, sf_dir).which(asked)
 
 
 def index_ids(spark, sf_dir):
@@ -126,17 +139,37 @@ def vector_batch(spark, sf_dir):
 
 def vector_functions(spark, sf_dir):
     v, w = F.col("embedding"), F.reverse("embedding")
-    return vectors(spark, sf_dir).select("id", F.round(norm(v), 6).alias("norm"), F.round(dot(v, w), 6).alias("dot"), F.round(cosine(v, w), 6).alias("cosine"))
+    return vectors(spark, sf_dir).select("id", F.round(norm(v), 6).alias("norm"), F.round(dot(v, w), 6).alias("dot"), F.round(cosine(v, w), 6).alias("cosine"), F.round(cosine_distance(v, w), 6).alias("distance"), F.round(F.get(normalised(F.transform(v, lambda x: x * 3)), F.lit(0)), 6).alias("first_of_unit"))
 
 
 def ann_ivf(spark, sf_dir):
-    return IvfIndex.build(vectors(spark, sf_dir), DIM, n_lists=16).search(vector_queries(spark, sf_dir), 10, probes=12)
+    return IvfIndex.build(vectors(spark, sf_dir), DIM, n_lists=16).search(vector_queries(spark, sf_dir), 10, probes=6)
 
 
 def ann_graph(spark, sf_dir):
     return GraphIndex.build(vectors(spark, sf_dir), DIM).search(vector_queries(spark, sf_dir), 10, ef=100)
 
 
+def _nearest(found: DataFrame) -> DataFrame:
+    """The best score of each query, and whether it is that of the query's own vector."""
+    return found.where("rank = 1").select("qid", "score")
+
+
+def ann_ivf_nearest(spark, sf_dir):
+    return _nearest(ann_ivf(spark, sf_dir))
+
+
+def ann_graph_nearest(spark, sf_dir):
+    return _nearest(ann_graph(spark, sf_dir))
+
+
+def ann_graph_levels(spark, sf_dir):
+    """Every vector is a node of the graph once, with a level and no more than 2 m
+    neighbours."""
+    nodes = GraphIndex.build(vectors(spark, sf_dir), DIM, m=8).nodes
+    return nodes.select("id", (F.col("level") >= 0).alias("has_level"), (F.size("neighbours") <= 16).alias("bounded"), F.round(norm(F.col("embedding")), 4).alias("norm"))
+
+
 def embed_hash(spark, sf_dir):
     made = embed(documents(spark, sf_dir).select("id", "text"), HashingProvider(DIM))
     return made.select("id", F.round(norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dim"))
@@ -170,6 +203,14 @@ def hybrid_vector_only(spark, sf_dir):
     return _hybrid(spark, sf_dir, 1.0)
 
 
+def hybrid_without_vectors(spark, sf_dir):
+    """Alpha counts as 0 where there are no vectors."""
+    docs = documents(spark, sf_dir).select("id", "lang", "n_chars")
+    found = hybrid_search(paired_queries(spark, sf_dir), docs, keyword_index(spark, sf_dir), None, 10, 0.5)
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "vector_rank")]
+    return found.select("qid", "id", "score", *ranks, "lang", "n_chars", "rank")
+
+
 def hybrid_filtered(spark, sf_dir):
     return _hybrid(spark, sf_dir, 0.5, filters={"lang": "en", "n_chars": {"$gte": 500, "$lte": 5000}})
 
@@ -227,11 +268,18 @@ def filter_json(spark, sf_dir):
     return events.where(predicate({"k": {"$gte": 50}}, VariantFields("doc"))).drop("doc")
 
 
+def filter_cross_type(spark, sf_dir):
+    """A number is never above or below a text, nor a text within a number."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.try_parse_json(F.concat(F.lit('{"n":'), F.col("user_id"), F.lit(',"t":"'), F.col("event_type"), F.lit('"}'))).alias("doc"))
+    either = predicate({"t": {"$gte": 0}}, VariantFields("doc")) | predicate({"n": {"$gte": 500}, "t": {"$lt": "d"}}, VariantFields("doc"))
+    return events.where(either).drop("doc")
+
+
 # Chunks, documents, collections
 
 
 def _chunked(spark, sf_dir, size, overlap):
-    docs = documents(spark, sf_dir).select("id", "text")
+    docs = spread(documents(spark, sf_dir).select("id", "text"))
     return chunk_documents(docs, size, overlap).select("id", "parent_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text")
 
 
@@ -243,12 +291,73 @@ def chunk_small(spark, sf_dir):
     return _chunked(spark, sf_dir, 50, 10)
 
 
+_stores: dict[tuple[str, str, str], CollectionStore] = {}
+
+
+def store_of(spark: SparkSession, sf_dir: str, kind: str, fill: Callable[[CollectionStore], None]) -> CollectionStore:
+    """A store of collections, filled once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _stores:
+        store = CollectionStore(spark, working_folder(spark, kind))
+        fill(store)
+        _stores[key] = store
+    return _stores[key]
+
+
+def as_rows(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows of a collection from documents(id, text, lang, source, n_chars), with the
+    vectors of known(id, embedding); in the order of the ids."""
+    body = F.to_json(F.struct(F.col("id").cast("string").alias("id"), "lang", "source", "n_chars"))
+    whole = docs.withColumn("body", body)
+    whole = whole.withColumn("embedding", F.lit(None).cast("array<float>")) if known is None else whole.join(known, "id", "left")
+    return whole.orderBy("id").select(F.col("id").cast("string").alias("id"), "text", "body", F.lit(None).cast("string").alias("parent_id"), "embedding")
+
+
+def _of_body(docs: DataFrame) -> DataFrame:
+    read = F.from_json("body", "lang string, source string, n_chars long")
+    return docs.select(F.col("id").cast("long").alias("id"), read.alias("b")).select("id", "b.lang", "b.source", "b.n_chars")
+
+
+def _documents_store(spark: SparkSession, sf_dir: str) -> CollectionStore:
+    def fill(store: CollectionStore) -> None:
+        made = store.create(CollectionConfig("documents", "text", DIM, "brute_force"))
+        made.add_table(as_rows(documents(spark, sf_dir), vectors(spark, sf_dir)))
+
+    return store_of(spark, sf_dir, "documents", fill)
+
+
+def _languages_store(spark: SparkSession, sf_dir: str) -> CollectionStore:
+    """Each language as a collection, the vectors with them; one search has been made."""
+
+    def fill(store: CollectionStore) -> None:
+        known = documents(spark, sf_dir).select("id", "text", "lang", "source", "n_chars")
+        for lang in [r.lang for r in known.select("lang").distinct().orderBy("lang").collect()]:
+            made = store.create(CollectionConfig(lang, "text", DIM, "brute_force"))
+            own = known.where(F.col("lang") == lang).withColumn("text", F.col("source"))
+            made.add_table(as_rows(own, vectors(spark, sf_dir)))
+        made.search("web", alpha=0.0)
+
+    return store_of(spark, sf_dir, "languages", fill)
+
+
 def page_docs(spark, sf_dir):
-    return documents(spark, sf_dir).select("id", "lang", "source", "n_chars").orderBy("id").offset(100).limit(50)
+    return _of_body(_documents_store(spark, sf_dir).get("documents").page(50, 100))
 
 
 def point_lookup(spark, sf_dir):
-    return documents(spark, sf_dir).select("id", "lang", "source", "n_chars").where("id = 42")
+    return _of_body(_documents_store(spark, sf_dir).get("documents").lookup("42"))
+
+
+def preview_docs(spark, sf_dir):
+    return _documents_store(spark, sf_dir).get("documents").preview(20)
+
+
+def collection_search(spark, sf_dir):
+    """All benchmark items against the collection, filtered by fields of its documents."""
+    found = _documents_store(spark, sf_dir).get("documents").search_table(paired_queries(spark, sf_dir), 10, 0.5, {"lang": "en", "n_chars": {"$gte": 500, "$lte": 5000}})
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "vector_rank")]
+    read = F.from_json("body", "lang string, n_chars long")
+    return found.select("qid", F.col("id").cast("long").alias("id"), "score", *ranks, read["lang"].alias("lang"), read["n_chars"].alias("n_chars"))
 
 
 def upsert_latest(spark, sf_dir):
@@ -258,25 +367,52 @@ def upsert_latest(spark, sf_dir):
 
 
 def delete_antijoin(spark, sf_dir):
-    gone = table(spark, sf_dir, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
-    return documents(spark, sf_dir).select("id", "lang", "source", "n_chars").join(gone, "id", "left_anti")
+    """The collection without the documents of some vectors."""
+
+    def fill(store: CollectionStore) -> None:
+        made = store.create(CollectionConfig("documents", "source", DIM, "brute_force"))
+        made.add_table(as_rows(documents(spark, sf_dir).withColumn("text", F.col("source"))))
+        gone = table(spark, sf_dir, "embeddings").where("label = 3")
+        made.delete_table(gone.select(F.col("vec_id").cast("string").alias("id")))
+
+    return _of_body(store_of(spark, sf_dir, "trimmed", fill).get("documents").docs())
+
+
+def vector_changes(spark, sf_dir):
+    """Vectors added, of every fifth one a reversed one in its place, every seventh one
+    removed, one written again without a vector."""
+
+    def fill(store: CollectionStore) -> None:
+        made = store.create(CollectionConfig("vectors", "text", DIM, "ivf"))
+        empty = F.lit(None).cast("string")
+        rows = vectors(spark, sf_dir).orderBy("id").select(F.col("id").cast("string").alias("id"), F.lit("").alias("text"), F.to_json(F.struct("id")).alias("body"), empty.alias("parent_id"), "embedding")
+        made.add_table(rows)
+        made.add_table(rows.where("cast(id AS long) % 5 = 0").withColumn("embedding", F.reverse("embedding")))
+        made.delete_table(rows.where("cast(id AS long) % 7 = 0").select("id"))
+        made.add({"id": "1", "text": "no vector any more"})
+
+    made = store_of(spark, sf_dir, "changed", fill).get("vectors")
+    return made.vectors().select(F.col("id").cast("long").alias("id"), F.round(F.get("embedding", F.lit(0)), 5).alias("first"), F.size("embedding").alias("dim"))
 
 
 def collection_stats(spark, sf_dir):
-    n = documents(spark, sf_dir).agg(F.count("*").alias("doc_count"))
-    return n.join(vectors(spark, sf_dir).agg(F.count("*").alias("vector_count")), how="cross").withColumn("embedding_dim", F.lit(DIM))
+    stats = _documents_store(spark, sf_dir).get("documents").stats()
+    return spark.createDataFrame([tuple(stats[k] for k in ("doc_count", "vector_count", "vocab_size", "embedding_dim", "index_type"))], "doc_count long, vector_count long, vocab_size long, embedding_dim int, index_type string")
+
+
+def catalog_names(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _languages_store(spark, sf_dir).list()], "name string")
 
 
 def catalog_totals(spark, sf_dir):
-    """Each source as a collection."""
-    by_source = documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
-    return by_source.agg(F.count("*").alias("collections"), F.sum("n").alias("documents"))
+    totals = _languages_store(spark, sf_dir).totals()
+    return spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} long" for k in totals))
 
 
-def recall_exact(spark, sf_dir):
-    """Exact search against itself."""
-    exact = exact_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), DIM, 10)
-    return mean_recall(exact, exact, 10)
+def recall_half(spark, sf_dir):
+    """Exact search among the vectors of even id against that among all."""
+    asked, known = vector_queries(spark, sf_dir), vectors(spark, sf_dir)
+    return mean_recall(exact_search(asked, known.where("id % 2 = 0"), DIM, 10), exact_search(asked, known, DIM, 10), 10)
 
 
 def recall_ann(spark, sf_dir):
@@ -286,8 +422,7 @@ def recall_ann(spark, sf_dir):
 
 
 def latency_percentiles(spark, sf_dir):
-    values = table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return values.select("event_type", *[floor_percentile(F.col("v"), p).alias(f"p{p}") for p in (50, 95, 99)])
+    return floor_percentiles(table(spark, sf_dir, "events"), "event_type", "value", 50, 95, 99)
 
 
 def synthetic_products(spark, sf_dir):
@@ -295,16 +430,70 @@ def synthetic_products(spark, sf_dir):
 
 
 def ingest_counters(spark, sf_dir):
-    ok = F.length("text") > 0
-    return documents(spark, sf_dir).agg(F.count_if(ok).alias("indexed"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("errors"))
+    """The counters of an ingestion in which every seventh document has no name."""
+    store = CollectionStore(spark, working_folder(spark, "counters"))
+    made = store.create(CollectionConfig("documents", "text", 64, "brute_force"))
+    name = F.when(F.col("id") % 7 != 0, F.col("id").cast("string"))
+    rows = documents(spark, sf_dir).select(name.alias("id"), "text", F.to_json(F.struct("id")).alias("body"))
+    counts = IngestionPipeline(made, HashingProvider(64)).ingest_table(rows)
+    return spark.createDataFrame([(*counts.values(), len(made))], ", ".join(f"{k} long" for k in [*counts, "held"]))
+
+
+def job_progress(spark, sf_dir):
+    """A job that counts the documents of each language, one of them twice by mistake,
+    and those of a language as errors."""
+    jobs = JobTracker(spark, working_folder(spark, "jobs"))
+    counts = {r["lang"]: r["count"] for r in documents(spark, sf_dir).groupBy("lang").count().orderBy("lang").collect()}
+    job = jobs.create(sum(counts.values()))
+    jobs.set_running(job.job_id)
+    for lang, n in [*counts.items(), *counts.items()]:
+        if lang == max(counts):
+            jobs.increment_errors(job.job_id, n, f"no {lang}", lang)
+        else:
+            jobs.increment_done(job.job_id, n, lang)
+    found = jobs.get(job.job_id)
+    return spark.createDataFrame([(found.status, found.total, found.done, found.errors, found.error_msg, round(found.progress, 6), jobs.get("absent") is None)], "status string, total long, done long, errors long, error_msg string, progress double, absent boolean")
+
+
+def json_documents(spark, sf_dir):
+    """Nations as a JSON array, read as documents and taken into a collection, whose
+    ids are texts."""
+    folder = working_folder(spark, "json")
+    nations = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    Files(spark).write(f"{folder}/nations.json", json.dumps([{"id": r.n_nationkey, "name": r.n_name, "region": r.n_regionkey} for r in nations]))
+    read = read_json_documents(spark, f"{folder}/nations.json")
+    made = CollectionStore(spark, f"{folder}/store").create(CollectionConfig("nations", "name", 8, "brute_force"))
+    made.add_batch([r.asDict() for r in read.collect()])
+    return made.docs().select("id", "text", F.from_json("body", "region long")["region"].alias("region"))
+
+
+def engine_documents(spark, sf_dir):
+    """Nations through the facade: a bulk job, a worker, a document replaced and one
+    deleted; the pages, and what the job came to."""
+    engine = Engine(spark, working_folder(spark, "engine"))
+    engine.create_collection("nations", "name", index_type="brute_force")
+    nations = [{"id": f"n{r.n_nationkey}", "name": r.n_name} for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    job = engine.bulk_ingest("nations", [*nations, {"name": "nameless"}])
+    engine.work(once=True).awaitTermination()
+    engine.ingest("nations", {"id": "n3", "name": "REPLACED"})
+    engine.delete_document("nations", "n5")
+    done, total = engine.job(job.job_id), engine.documents("nations", 1)["total"]
+    pages = [d for at in range(0, total, 10) for d in engine.documents("nations", 10, at)["documents"]]
+    best = engine.answer("nations", "replaced", top_k=1, alpha=0.0)
+    found = [(i, d["id"], d["name"], total, done.status, done.done, done.errors, best["results"][0]["id"], best["latency_ms"] > 0) for i, d in enumerate(pages)]
+    return spark.createDataFrame(found, "place int, id string, name string, total long, status string, done long, errors long, best string, timed boolean")
+
+
+def metrics_sink(spark, sf_dir):
+    """Figures written as one JSON file and read again."""
+    path = f"{working_folder(spark, 'metrics')}/latest.json"
+    counts = documents(spark, sf_dir).agg(F.count("*").alias("documents"), F.countDistinct("lang").alias("languages")).first()
+    write_metrics(spark, path, counts.asDict())
+    return spark.read.schema("documents long, languages long").json(path)
 
 
 def stream_ingest(spark, sf_dir):
     """Messages through the inbox and the stream; returns the collection's documents."""
-    from ..engine import Engine
-    from ..sources.files import working_folder
-    from ..streaming.ingest import enqueue_table
-
     engine = Engine(spark, working_folder(spark, "stream"))
     engine.create_collection("docs", "text", embedding_dim=384, index_type="brute_force")
     rows = documents(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "text")
@@ -315,11 +504,11 @@ def stream_ingest(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        tokenize_counts, tokenize_plain, unique_terms, doc_len, index_statistics, vocab_size, term_stats, term_freq, index_ids,
-        bm25_topk, bm25_batch, bm25_after_remove, vector_topk, vector_batch, vector_functions, ann_ivf, ann_graph, embed_hash,
-        hybrid_half, hybrid_keyword_only, hybrid_vector_only, hybrid_filtered, hybrid_prefiltered,
-        filter_equal, filter_not_equal, filter_range, filter_open_range, filter_contains, filter_contains_member, filter_missing, filter_unknown, filter_json,
-        chunk_fixed, chunk_small, page_docs, point_lookup, upsert_latest, delete_antijoin, collection_stats, catalog_totals,
-        recall_exact, recall_ann, latency_percentiles, synthetic_products, ingest_counters, stream_ingest,
+        tokenize_counts, tokenize_plain, unique_terms, doc_len, index_statistics, vocab_size, term_stats, term_freq, index_contains, index_ids,
+        bm25_topk, bm25_batch, bm25_after_remove, vector_topk, vector_batch, vector_functions, ann_ivf, ann_graph, ann_ivf_nearest, ann_graph_nearest, ann_graph_levels, embed_hash,
+        hybrid_half, hybrid_keyword_only, hybrid_vector_only, hybrid_without_vectors, hybrid_filtered, hybrid_prefiltered, collection_search,
+        filter_equal, filter_not_equal, filter_range, filter_open_range, filter_contains, filter_contains_member, filter_missing, filter_unknown, filter_json, filter_cross_type,
+        chunk_fixed, chunk_small, page_docs, point_lookup, preview_docs, upsert_latest, delete_antijoin, vector_changes, collection_stats, catalog_names, catalog_totals,
+        recall_half, recall_ann, latency_percentiles, synthetic_products, ingest_counters, job_progress, json_documents, engine_documents, metrics_sink, stream_ingest,
     ]
     return {f.__name__: f for f in found}

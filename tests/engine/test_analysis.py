@@ -11,7 +11,7 @@ from loomsearch.functions.text import stem, tokens
 from loomsearch.functions.vector import cosine, cosine_distance, normalised
 from loomsearch.operators.bm25 import bm25_search
 from loomsearch.operators.chunking import chunk_documents, chunks
-from loomsearch.operators.evaluation import floor_percentile, recall_at_k
+from loomsearch.operators.evaluation import floor_percentiles, latency_sweep, recall_at_k
 from loomsearch.operators.fusion import fuse
 from loomsearch.operators.postings import build_index
 
@@ -129,11 +129,20 @@ def test_chunks_match_slices(spark):
     assert tail[-1] == "A" * 16
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=30), st.sampled_from([50, 95, 99]))
-def test_floor_percentile(spark, values, p):
-    got = spark.range(1).select(floor_percentile(F.array(*map(F.lit, values)), p).alias("x")).first().x
-    assert got == sorted(values)[min(int(len(values) * p / 100), len(values) - 1)]
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(-40, 40), min_size=1, max_size=60))
+def test_floor_percentiles(spark, values):
+    rows = spark.createDataFrame([("a", float(v)) for v in values] + [("a", None), ("b", 7.0), ("c", None)], "name string, v double")
+    got = {r.name: r for r in floor_percentiles(rows, "name", "v", 0, 50, 95, 99, 100).collect()}
+    place = lambda p: sorted(values)[min(len(values) * p // 100, len(values) - 1)]
+    assert [got["a"][f"p{p}"] for p in (0, 50, 95, 99, 100)] == [place(p) for p in (0, 50, 95, 99, 100)]
+    assert got["b"].p50 == got["b"].p99 == 7 and set(got) == {"a", "b"}
+
+
+def test_latency_sweep():
+    asked = []
+    found = latency_sweep(lambda mode, query: asked.append((mode, query)), ["a", "b", "c"], ("x", "y"))
+    assert asked == [(m, q) for m in "xy" for q in "abc"] and set(found["x"]) == {"p50", "p95", "p99", "mean"} and found["y"]["p99"] >= found["y"]["p50"] >= 0
 
 
 def test_recall(spark):

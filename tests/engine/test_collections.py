@@ -75,6 +75,76 @@ def test_providers(spark):
         Retrying(Shaky(), sleep=waits.append).embed_batch(["a"])
 
 
+def test_a_model_fitted_on_the_corpus(spark):
+    from loomsearch.operators.embedding import fit_latent
+
+    about = {"sea": "harbour ship sailor wave anchor tide", "wood": "oak saw timber plank carpenter forest"}
+    rng = np.random.default_rng(0)
+    texts = [(kind, " ".join(rng.choice(words.split(), 4))) for kind, words in about.items() for _ in range(80)]
+    model = fit_latent(spark.createDataFrame(texts, "kind string, text string"), dim=4)
+    rows = model.embed_batch([t for _, t in texts])
+    assert rows.shape == (160, 4) and np.allclose(np.linalg.norm(rows, axis=1), 1, atol=1e-5)
+    same, other = (rows[:80] @ rows[:80].T).mean(), (rows[:80] @ rows[80:].T).mean()
+    # Texts of one subject are near to each other even where they share no word.
+    assert same > 0.7 and abs(other) < 0.3 and model.embed_one("sailor anchor") @ model.embed_one("ship tide") > 0.7
+    assert model.embed_batch([]).shape == (0, 4) and not model.embed_one("").any()
+    assert embed(spark.createDataFrame(texts[:3], "kind string, text string"), model).where("size(embedding) = 4").count() == 3
+    assert fit_latent(spark.createDataFrame([], "text string"), dim=4).embed_one("x").shape == (4,)
+
+
+def test_a_service_for_embeddings():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    from loomsearch.operators.embedding import HttpProvider
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((asked["model"], self.headers["Authorization"], len(asked["input"])))
+            if len(seen) == 1:
+                self.send_response(503)
+                self.end_headers()
+                return
+            data = [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(asked["input"])]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"data": data[::-1]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        provider = HttpProvider(f"http://127.0.0.1:{server.server_port}/embeddings", "some-model", 2, key="k")
+        waits = []
+        rows = Retrying(provider, batch=2, sleep=waits.append).embed_batch(["a", "bbb", "cc"])
+        assert np.allclose(rows[1], np.array([3, 1]) / np.sqrt(10), atol=1e-6) and waits == [1.0]
+        assert seen == [("some-model", "Bearer k", 2)] * 2 + [("some-model", "Bearer k", 1)] and provider.embed_batch([]).shape == (0, 2)
+        with pytest.raises(ValueError):
+            HttpProvider(provider.url, "some-model", 3).embed_one("x")
+    finally:
+        server.shutdown()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomsearch.__main__ import run
+
+    engine = Engine(spark, str(tmp_path))
+    engine.create_collection("docs", "text", index_type="brute_force")
+    engine.bulk_ingest("docs", [{"id": "a", "text": "harbour master"}, {"id": "b", "text": "garden chair"}])
+    assert run(spark, [str(tmp_path), "worker", "--once"]) is None
+    assert run(spark, [str(tmp_path), "search", "docs", "harbour", "--alpha", "0"])["results"][0]["id"] == "a"
+    assert run(spark, [str(tmp_path), "stats"])[0]["doc_count"] == 2
+    assert set(run(spark, [str(tmp_path), "latency", "docs", "harbour"])) == {"keyword", "vector", "hybrid"}
+    assert json.loads(capsys.readouterr().out.splitlines()[0])["total"] == 1
+    with pytest.raises(SystemExit):
+        run(spark, [str(tmp_path), "unknown"])
+
+
 def test_embedding_errors_stay_with_their_batch(spark):
     class Fussy:
         dim = 8
@@ -248,3 +318,113 @@ def test_stream_ingests_every_document(spark, tmp_path):
     data = [(i, f"document number {i}") for i in [*range(150), *range(190, 650), 10**12]]
     spark.createDataFrame(data, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, stream_ingest(spark, str(tmp_path)).select("id", "text").collect())) == data
+
+
+def plain(c):
+    return sorted((r.id, r.seq, r.text) for r in c.docs().collect())
+
+
+def test_a_search_leaves_a_commit_in_place_and_writers_see_each_other(spark, tmp_path):
+    from loomsearch.sources.catalog import ConflictError
+
+    engine = Engine(spark, str(tmp_path))
+    engine.create_collection("docs", "text", embedding_dim=384)
+    engine.ingest("docs", {"id": "1", "text": "first words"})
+    reader, late = engine.collection("docs"), engine.collection("docs")
+    engine.ingest("docs", {"id": "2", "text": "second words"})
+    # The reader keeps to what it has loaded and writes no manifest.
+    assert {r["id"] for r in reader.search("words", alpha=0.0)} == {"1"}
+    assert {r["id"] for r in engine.search("docs", "words", alpha=0.0)} == {"1", "2"} and len(engine.collection("docs")) == 2
+    with pytest.raises(ConflictError):
+        late.add({"id": "3", "text": "too late"})
+    busy = engine.collection("docs")
+    assert busy.files.create(f"{busy.folder}/claims/{busy.version + 1}", "")
+    with pytest.raises(ConflictError):
+        busy.add({"id": "3", "text": "at the same time"})
+    busy.files.delete(f"{busy.folder}/claims/{busy.version + 1}")
+    busy.add({"id": "3", "text": "third words"})
+    assert engine.collection("docs").query_count == 2
+
+
+def test_segments_hold_what_is_new_and_are_merged(spark, tmp_path, monkeypatch):
+    from loomsearch.sources import catalog
+
+    monkeypatch.setattr(catalog, "MOST_SEGMENTS", 3)
+    store = CollectionStore(spark, str(tmp_path))
+    c, p, want = store.create(CollectionConfig("grow", "text", DIM, "hnsw")), HashingProvider(DIM), {}
+    for turn in range(7):
+        batch = {f"d{turn}{i}": f"turn {turn} number {i} common" for i in range(6)} | {"d00": f"changed in turn {turn} common"}
+        c.add_batch([{"id": k, "text": t} for k, t in batch.items()], p.embed_batch(list(batch.values())))
+        want |= batch
+        if turn % 2:
+            assert c.delete(f"d{turn}1")
+            del want[f"d{turn}1"]
+        assert {i: t for i, _, t in plain(c)} == want and len(c) == len(want) and len(c.state.segments) <= 4
+        again = Collection.load(spark, c.folder)
+        index = again.keyword_index()
+        fresh = index.documents.agg(F.count("*"), F.sum("dl")).first()
+        assert (again.state.n, again.state.total_dl, again.state.n_vectors) == (fresh[0], fresh[1], again.vectors().count()) == (len(want), fresh[1], len(want))
+        found = again.search("common", p.embed_one("turn 0 number 3 common"), alpha=0.5, k=100)
+        assert {r["id"] for r in found} == set(want)
+    assert next(r["id"] for r in c.search("x", p.embed_one("turn 0 number 3 common"), alpha=1.0, k=1)) == "d03"
+    # Places are kept from the first insertion on, through replacements and merges.
+    assert c.list_docs(1)[0][0]["id"] == "d00"
+    before = plain(c)
+    c.compact()
+    assert plain(c) == before and len(c.state.segments) == 1 and "d03" in c and "d11" not in c
+    assert c.vector_of("d03") is not None and c.vector_of("d11") is None
+
+
+def test_the_scan_is_told_the_terms_of_a_search(spark, shop):
+    from loomsearch.operators.bm25 import bm25_search
+
+    _, c, _ = shop
+    queries = spark.createDataFrame([(0, "wireless blender")], "qid long, text string")
+    plan = bm25_search(queries, c.keyword_index())._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan
+
+
+def test_graph_shards_are_chosen_by_their_centroids(spark, monkeypatch):
+    from loomsearch.operators import ann
+
+    monkeypatch.setattr(ann, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 16)) * 3
+    rows = [(i, [float(x) for x in middles[i % 12] + rng.normal(size=16)]) for i in range(4000)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = v.where("id % 40 = 0").withColumnRenamed("id", "qid")
+    exact = exact_search(q, v, 16, 10).persist()
+    index = GraphIndex.build(v, 16)
+    assert len(index.shards) >= 20 and index.nodes.groupBy("shard").count().agg(F.max("count")).first()[0] < 400
+    assert mean_recall(index.search(q, 10, ef=100, probes=8), exact, 10).first()[0] >= 0.95
+    assert index.candidates(q, 50, 10, probes=4).select("qid", "shard").distinct().count() < 0.7 * q.count() * len(index.shards)
+
+
+def test_many_walks_in_step_find_what_single_ones_do():
+    from loomsearch.operators.ann import beam_search, padded, proximity_graph
+
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(500, 8)).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    near, upper = padded(proximity_graph(rows, 8, 50)), np.arange(0, 500, 20)
+    queries = rows[::7] + np.float32(0.01)
+    nodes, scores = beam_search(queries, rows, near, upper, 30)
+    for i, q in enumerate(queries):
+        alone, _ = beam_search(q[None], rows, near, upper, 30)
+        assert set(alone[0]) == set(nodes[i]) and np.allclose(scores[i], rows[nodes[i]] @ q, atol=1e-5)
+    truth = np.argsort(-(queries @ rows.T), axis=1)[:, :10]
+    assert np.mean([len(set(t) & set(n)) / 10 for t, n in zip(truth, nodes)]) > 0.98
+
+
+def test_jobs_count_a_batch_once_and_can_be_watched(spark, tmp_path):
+    jobs = JobTracker(spark, str(tmp_path))
+    job = jobs.create(4)
+    states = []
+
+    def work(_):
+        step = [lambda: jobs.set_running(job.job_id), lambda: jobs.increment_done(job.job_id, 2, "b1"), lambda: jobs.increment_done(job.job_id, 2, "b1"), lambda: jobs.increment_errors(job.job_id, 1, "bad", "b2"), lambda: jobs.increment_done(job.job_id, 1)]
+        step[len(states)]()
+        states.append(1)
+
+    seen = [(j.status, j.done, j.errors) for j in jobs.watch(job.job_id, sleep=work)]
+    assert seen == [("queued", 0, 0), ("running", 0, 0), ("running", 2, 0), ("running", 2, 1), (DONE_WITH_ERRORS, 3, 1)]
