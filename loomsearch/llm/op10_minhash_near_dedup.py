@@ -54,6 +54,8 @@ SAMPLED_PAIRS, FREQUENT = 2_000, 100_000
 #: Text of the pairs that a task compares at once, differences that it hands on at
 #: once, and rows of a batch of pairs: bounds of its memory.
 PAIR_BYTES, DIFFERENCES, PAIRS_PER_BATCH = 2 << 20, 200_000, 256
+#: Texts and pairs that a task writes or compares at once.
+TEXTS_PER_FILE, PAIRS_PER_FILE = 20_000, 4_000
 
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
@@ -282,28 +284,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
     # A class is a node of the graph of links; its number says nothing but which it is.
     by_set = named.groupBy(*same_set).agg(F.min("id").alias("id"), *[F.min(s).alias(s) for s in _SIGNS])
-    classes = scratch.write(by_set.withColumn("node", F.monotonically_increasing_id()), "classes")
+    n = signed.count()
+    classes = scratch.write(by_set.withColumn("node", F.monotonically_increasing_id()), "classes", n)
 
     keys = classes.select("node", *_SIGNS).mapInArrow(_keys(chunks), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.write(keys.join(shared, "key"), "met")
+    met = scratch.write(keys.join(shared, "key"), "met", n * COMPONENTS, 4_000_000)
+    n_met = met.count()
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = scratch.write(met.select("key", "node").join(degree, "node"), "ranked")
+    ranked = scratch.write(met.select("key", "node").join(degree, "node"), "ranked", n_met)
     most_shared = F.struct("degree", -F.col("node"))
     hubs = ranked.groupBy("key").agg(F.max_by("node", most_shared).alias("hub"))
-    members = scratch.write(ranked.join(hubs, "key"), "members")
-    repeated_ids = scratch.write(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    members = scratch.write(ranked.join(hubs, "key"), "members", n_met)
+    repeated_ids = scratch.write(named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids", n)
     repeated = not repeated_ids.isEmpty()
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("id", "node", *same_set)
     texts = source.join(wanted, "id").mapInArrow(_texts_of_classes(shingle), "node long, text string")
-    texts = scratch.write(texts.dropDuplicates(["node"]) if repeated else texts, "texts")
+    texts = scratch.write(texts.dropDuplicates(["node"]) if repeated else texts, "texts", n, TEXTS_PER_FILE)
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def confirmed(pairs: DataFrame, step: int) -> DataFrame:
-        return scratch.write(with_texts(pairs).mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean, size_a long, size_b long, common long"), f"tried-{step}")
+        pairs = scratch.write(pairs, f"pairs-{step}", n_met)
+        return scratch.write(with_texts(pairs).mapInArrow(_confirm(shingle, percent), "a long, b long, linked boolean, size_a long, size_b long, common long"), f"tried-{step}", pairs.count(), PAIRS_PER_FILE)
 
     def open_members(found: DataFrame) -> DataFrame:
         """Members of the keys whose members are not all connected, with component c
@@ -316,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = None
     if repeated:
         shared_id = named.join(repeated_ids, "id").join(classes.select("node", *same_set), same_set).select("id", "node").distinct()
-        links = scratch.write(shared_id.join(shared_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b"), "same-id")
+        links = scratch.write(shared_id.join(shared_id.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b"), "same-id", n)
 
     def linked(tried: DataFrame) -> DataFrame:
         found = tried.where("linked").select("a", "b")
@@ -326,35 +331,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with batches_of(spark, PAIRS_PER_BATCH):
         stars = confirmed(members.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), 1)
         tried = stars
-        found = scratch.write(components(linked(tried), scratch, "star-1", rounds=1), "found-1")
+        found = scratch.write(components(linked(tried), scratch, "star-1", 1, n_met), "found-1", n)
 
-        apart = scratch.write(open_members(found), "open-2")
+        apart = scratch.write(open_members(found), "open-2", n_met)
         second = apart.where("c != main").groupBy("key").agg(F.max_by("node", most_shared).alias("a"), F.max_by("c", most_shared).alias("c_a"))
         pairs = apart.join(second, "key").where("c != c_a").select("a", F.col("node").alias("b")).distinct()
         known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-2")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(confirmed(pairs, 2))
-            found = scratch.write(components(linked(tried), scratch, "star-2", rounds=1), "found-2")
+        more = confirmed(pairs.join(known, ["a", "b"], "left_anti"), 2)
+        if not more.isEmpty():
+            tried = tried.unionByName(more)
+            found = scratch.write(components(linked(tried), scratch, "star-2", 1, 2 * n_met), "found-2", n)
 
         rest = open_members(found).where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "c").distinct()
         need = 100 * (F.col("size_a") - F.col("common")) + percent * (F.col("size_b") - F.col("common"))
-        rest = scratch.write(rest.join(stars.withColumn("need", need), ["a", "b"]), "rest")
+        rest = scratch.write(rest.join(stars.withColumn("need", need), ["a", "b"]), "rest", n_met)
         least = rest.groupBy("a").agg(F.min("need").alias("least_asks"), F.min(F.when(~F.col("linked"), F.col("need") - (100 - percent) * F.col("size_a"))).alias("least_open"))
         wide = rest.join(least.where("least_open IS NOT NULL"), "a").select("a", "b", "c", "linked", "need", "least_asks", "least_open")
         sampled = with_texts(hashed_sample(wide, SAMPLED_PAIRS, "a", "b")).mapInArrow(_all_differences(shingle), "element long")
         counted = sampled.groupBy("element").count().where("count > 1").orderBy(F.desc("count"), "element").limit(FREQUENT)
         frequent = {r["element"]: r["count"] for r in counted.collect()}
         differences = with_texts(wide).mapInArrow(_differences(shingle, percent, frequent), "a long, element long, b long, c long, asks boolean, rest long, need long")
-        differences = scratch.write(differences, "differences")
+        differences = scratch.write(differences, "differences", rest.count(), PAIRS_PER_FILE)
         x, y = differences.where("asks").alias("x"), differences.where("NOT asks").alias("y")
         same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.c") != F.col("y.c"))
         same &= F.col("x.need") + F.col("y.need") <= (100 + percent) * F.least("x.rest", "y.rest")
         pairs = x.join(y, same).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = scratch.write(pairs.join(known, ["a", "b"], "left_anti"), "pairs-3")
-        tried = tried.unionByName(confirmed(pairs, 3))
-    found = scratch.write(components(linked(tried), scratch, "star-3"), "found-3")
+        tried = tried.unionByName(confirmed(pairs.join(known, ["a", "b"], "left_anti"), 3))
+    n_tried = tried.count()
+    found = scratch.write(components(linked(tried), scratch, "star-3", most=n_tried + n), "found-3", n)
 
     joined = classes.select("node", *same_set, "id").join(found.withColumnRenamed("id", "node"), "node", "left").select(*same_set, "id", "component")
     first = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"))
@@ -362,6 +367,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = named.select("id", *same_set).join(of_class, same_set).select("id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     result = grouped.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    result = scratch.write(result, "result")
+    result = scratch.write(result, "result", n)
     scratch.drop("signed", "classes", "met", "ranked", "members", "repeated-ids", "same-id", "texts", "rest", "differences", *(f"{x}-{i}" for x in ("pairs", "tried", "open", "found") for i in (1, 2, 3)))
     return result

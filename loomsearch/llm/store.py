@@ -15,6 +15,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a file of a table whose size is known, and files that it may have anyway.
+ROWS_PER_FILE, FEWEST_FILES = 1_000_000, 12
+
 _local: str | None = None
 
 
@@ -39,16 +42,27 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, step: str, compression: str = "zstd") -> DataFrame:
-        """Writes df and returns the written table."""
+    def _until_exit(self) -> None:
+        """What is not dropped before goes when the driver ends."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def write(self, df: DataFrame, step: str, rows: int | None = None, per_file: int = ROWS_PER_FILE, compression: str = "zstd") -> DataFrame:
+        """Writes df and returns the written table. rows: a bound on its rows; there are
+        then no more files than they fill, lest a small table be as many small files as
+        there are shuffle partitions."""
         path = f"{self.folder}/{step}"
+        if rows is not None:
+            df = df.coalesce(max(FEWEST_FILES, -(-rows // per_file)))
         df.write.option("compression", compression).parquet(path)
+        self._until_exit()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_bucketed(self, df: DataFrame, step: str, key: str, buckets: int) -> DataFrame:
         """Writes df bucketed by key, so that joins on the key need no shuffle of it."""
         table = f"loom_{uuid.uuid4().hex}"
         df.write.format("parquet").option("path", f"{self.folder}/{step}").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+        self._until_exit()
         written = self.spark.table(table)
         written.schema  # resolved, so the entry in the catalog is no longer needed
         self.spark.sql(f"DROP TABLE {table}")
