@@ -48,24 +48,36 @@ def read_calls(messages: DataFrame) -> DataFrame:
 
 
 def place_calls(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv, call, level) of every call: 0 without predecessors, else one more than
-    the highest of its predecessors; -1 on or behind a cycle. Predecessors that no
-    call has are ignored."""
-    unique = calls.groupBy("conv", "call").agg(F.min_by("after", F.struct("turn", "nth")).alias("after")).where("call IS NOT NULL")
-    wanted = unique.select("conv", "call", F.explode("after").alias("before"))
-    links = scratch.write(wanted.join(unique.select("conv", F.col("call").alias("before")), ["conv", "before"]), "links")
-    placed = unique.join(links.select("conv", "call").distinct(), ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level"))
-    waiting, turn = links, 0
-    while not waiting.isEmpty():
+    """(conv, call, level, order_turn) of every call: level 0 without predecessors, else
+    one more than the highest of its predecessors, -1 on or behind a cycle; order_turn:
+    the highest turn of the call and all calls it waits for. Predecessors that no call
+    has are ignored. A round places what waits for nothing any more and writes that and
+    the links that are still open; there are as many rounds as the longest chain."""
+    unique = calls.groupBy("conv", "call").agg(F.min(F.struct("turn", "nth")).alias("at"), F.min_by("after", F.struct("turn", "nth")).alias("after")).where("call IS NOT NULL")
+    n = calls.count()
+    unique = scratch.write(unique.select("conv", "call", F.col("at.turn").alias("turn"), "after"), "unique", n)
+    wanted = unique.select("conv", "call", "turn", F.explode("after").alias("before"))
+    links = wanted.join(unique.select("conv", F.col("call").alias("before")), ["conv", "before"])
+    none = F.lit(None).cast("long")
+    waiting = scratch.write(links.select("conv", "call", "before", F.lit(0).alias("level"), "turn"), "waiting-0")
+    n_links = waiting.count()
+    first = unique.join(waiting.select("conv", "call").distinct(), ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level"), F.col("turn").alias("order_turn"))
+    ready = scratch.write(first, "ready-0", n)
+    placed, turn = ready, 0
+    while not waiting.isEmpty() and not ready.isEmpty():
         turn += 1
-        known = scratch.write(placed, f"placed-{turn}")
-        open_links = links.join(known.select("conv", "call"), ["conv", "call"], "left_anti")
-        met = open_links.join(known.select("conv", F.col("call").alias("before"), "level"), ["conv", "before"], "left")
-        ready = met.groupBy("conv", "call").agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("missing")).where("missing = 0")
-        ready = scratch.write(ready.select("conv", "call", (F.col("level") + 1).alias("level")), f"ready-{turn}")
-        placed = known.unionByName(ready)
-        waiting = ready
-    cyclic = unique.join(placed.select("conv", "call"), ["conv", "call"], "left_anti").select("conv", "call", F.lit(-1).alias("level"))
+        done = ready.select("conv", F.col("call").alias("before"), (F.col("level") + 1).alias("above"), "order_turn")
+        met = waiting.join(done, ["conv", "before"], "left")
+        # A link whose predecessor is placed only says how high the call is by now.
+        known = F.col("above").isNotNull() | F.col("before").isNull()
+        met = met.select("conv", "call", F.when(~known, F.col("before")).alias("before"), F.greatest("level", "above").alias("level"), F.greatest("turn", "order_turn").alias("turn"))
+        met = scratch.write(met.groupBy("conv", "call", "before").agg(F.max("level").alias("level"), F.max("turn").alias("turn")), f"met-{turn}", n_links)
+        whole = met.groupBy("conv", "call").agg(F.max("level").alias("level"), F.max("turn").alias("order_turn"), F.count("before").alias("missing")).where("missing = 0")
+        ready = scratch.write(whole.drop("missing"), f"ready-{turn}", n)
+        waiting = scratch.write(met.join(ready.select("conv", "call"), ["conv", "call"], "left_anti"), f"waiting-{turn}", n_links)
+        scratch.drop(f"met-{turn}", f"waiting-{turn - 1}")
+        placed = placed.unionByName(ready)
+    cyclic = waiting.select("conv", "call", F.lit(-1).alias("level"), none.alias("order_turn")).distinct()
     return placed.unionByName(cyclic)
 
 
@@ -102,7 +114,8 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None, conv_col
     Returns one row per message and, for a message that calls tools, one further row
     per call: conv_col, turn_col, kind (message, call or result), call_id, order_turn,
     level, status and json. Rows are in topological order by (order_turn, level,
-    turn_col, call_id): a result stands behind its call even where its turn is earlier.
+    turn_col, call_id): a result stands behind its call, and a call behind those it waits
+    for, even where its turn is earlier.
     status: ok; for calls invalid, unanswered, cyclic or repeated (only the first call
     of an identifier is linked); for results orphan, or repeated where another answers
     the same call earlier. A null text is empty; a null role is ''; null conversations
@@ -122,7 +135,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None, conv_col
 
     heads = calls.where("call IS NOT NULL").groupBy("conv", "call").agg(F.min(F.struct("turn", "nth")).alias("first"))
     answered = results.where("call IS NOT NULL").groupBy("conv", "call").agg(F.min("turn").alias("answer_turn"))
-    linked = scratch.write(heads.join(levels, ["conv", "call"]).join(answered, ["conv", "call"], "left"), "linked")
+    linked = scratch.write(heads.join(levels, ["conv", "call"]).join(answered, ["conv", "call"], "left"), "linked", calls.count())
 
     of_call = checked.join(linked.hint("shuffle_hash"), ["conv", "call"], "left")
     call_status = (
@@ -133,13 +146,14 @@ def format_chats(messages: DataFrame, schemas: DataFrame | None = None, conv_col
         .otherwise("ok")
     )
     parts = F.concat(F.lit('{"arguments":'), canonical(F.col("arguments")), F.lit(',"id":'), F.coalesce(quoted(F.col("call")), F.lit("null")), F.lit(',"name":'), F.coalesce(quoted(F.col("name")), F.lit("null")), F.lit(',"problems":'), F.to_json("problems"), F.lit("}"))
-    call_rows = of_call.select("conv", "turn", F.lit("call").alias("kind"), F.col("call").alias("call_id"), F.col("turn").alias("order_turn"), (F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)) * 2 + 1).alias("level"), call_status.alias("status"), parts.alias("json"))
+    call_rows = of_call.select("conv", "turn", F.lit("call").alias("kind"), F.col("call").alias("call_id"), F.coalesce(F.greatest("turn", "order_turn"), F.col("turn")).alias("order_turn"), (F.greatest(F.coalesce("level", F.lit(0)), F.lit(0)) * 2 + 1).alias("level"), call_status.alias("status"), parts.alias("json"))
 
     answers = results.where("call IS NOT NULL").join(linked.hint("shuffle_hash"), ["conv", "call"], "left")
-    late = F.greatest("turn", F.col("first.turn"))
+    called = F.greatest("order_turn", F.col("first.turn"))
+    late = F.greatest("turn", called)
     result_status = F.when(F.col("first").isNull(), "orphan").when(F.col("turn") != F.col("answer_turn"), "repeated").otherwise("ok")
     answer_json = F.concat(F.lit('{"content":'), F.coalesce(quoted(F.col("answer")), F.lit("null")), F.lit(',"role":"tool","tool_call_id":'), quoted(F.col("call")), F.lit("}"))
-    level = F.when(F.col("first.turn") >= F.col("turn"), F.greatest("level", F.lit(0)) * 2 + 2).otherwise(F.lit(0))
+    level = F.when(called >= F.col("turn"), F.greatest("level", F.lit(0)) * 2 + 2).otherwise(F.lit(0))
     result_rows = answers.select("conv", "turn", F.lit("result").alias("kind"), F.col("call").alias("call_id"), F.coalesce(late, F.col("turn")).alias("order_turn"), level.alias("level"), result_status.alias("status"), answer_json.alias("json"))
 
     plain = results.where("call IS NULL").select("conv", "turn", "role", "text", F.when((F.col("role") == "assistant") & F.startswith(F.ltrim("text"), F.lit("{")), F.from_json("text", _CALLS)).alias("spoken"))

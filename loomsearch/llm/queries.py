@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .op10_minhash_near_dedup import near_duplicates
 from .op4_benchmark_decontamination import find_contamination
 from .op5_language_id import identify_languages
-from .op6_chat_formatting import format_chats
+from .op6_chat_formatting import SCHEMA_DDL, format_chats
 from .op7_sharding import assign_shards
 from .op8_secret_scan import scan
 from .op9_best_fit_packing import pack_documents
@@ -50,9 +50,39 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+#: The tool that answers questions, as op6 reads the conversations.
+ANSWER_SCHEMA = [("answer", "question", "string", True), ("answer", "length", "integer", True), ("answer", "hint", "object", False)]
+
+
+def as_tool_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations with every question answered by a tool: behind each user turn
+    the assistant calls the tool `answer`, and what the assistant said is the result.
+
+    A call's identifier is its turn. Four calls in a row wait for one another: the
+    second, third and fourth name the call two turns before as their predecessor, the
+    third by a mark in its arguments. What ends in no question mark is passed as
+    `statement`, which the tool's schema does not know. An assistant turn answers the
+    call of the turn before, if there is one."""
+    turn, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    name = F.concat(F.lit("call-"), turn.cast("string"))
+    nth = F.pmod(F.floor(turn / 2), F.lit(4))
+    before = F.concat(F.lit("call-"), (turn - 2).cast("string"))
+    asks = F.endswith(F.rtrim(text), F.lit("?"))
+    hint = F.when(nth == 2, F.struct(F.concat(F.lit("${"), before, F.lit("}")).alias("of")))
+    arguments = F.struct(F.when(asks, text).alias("question"), F.when(~asks, text).alias("statement"), F.length(text).alias("length"), hint.alias("hint"))
+    call = F.struct(name.alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"), F.when(nth.isin(1, 3), F.array(before)).alias("after"))
+    calls = conversations.where("role = 'user'").select("conv_id", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    result = F.to_json(F.struct(text.alias("content"), F.concat(F.lit("call-"), (turn - 1).cast("string")).alias("tool_call_id")))
+    answers = conversations.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text"))
+    others = conversations.where("role IS NULL OR role != 'assistant'").select("conv_id", "turn", "role", "text")
+    return others.unionByName(calls).unionByName(answers)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message, tool call and tool result of all conversations as JSON."""
-    return format_chats(_table(spark, sf_dir, "conversations"))
+    """Every message, tool call and tool result of all conversations as JSON, with the
+    questions read as calls of a tool and the answers as its results."""
+    schemas = spark.createDataFrame(ANSWER_SCHEMA, SCHEMA_DDL)
+    return format_chats(as_tool_calls(_table(spark, sf_dir, "conversations")), schemas)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +178,23 @@ SELECT w.doc_id, coalesce(n_shingles, 0) AS n_shingles, coalesce(least, w.doc_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-#: The conversations hold no calls, so every message is a row of its own.
 OP6_SQL = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'call-' || turn AS call, (turn // 2) % 4 AS nth, 'call-' || (turn - 2) AS two_before, rtrim(coalesce(text, '')) LIKE '%?' AS asks FROM conversations WHERE role = 'user'),
+w AS (SELECT u.*, b.call AS before FROM u LEFT JOIN u b ON b.conv_id = u.conv_id AND b.call = u.two_before AND u.nth > 0),
+l AS (SELECT conv_id, call, 0 AS level FROM w WHERE before IS NULL UNION ALL SELECT w.conv_id, w.call, l.level + 1 FROM w JOIN l ON w.conv_id = l.conv_id AND w.before = l.call),
+a AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'call-' || (turn - 1) AS call FROM conversations WHERE role = 'assistant'),
+c AS (SELECT u.*, level, EXISTS (SELECT 1 FROM a WHERE a.conv_id = u.conv_id AND a.call = u.call) AS answered FROM u JOIN l USING (conv_id, call)),
+m AS (SELECT conv_id, turn, coalesce(text, '') AS text, coalesce(role, '') AS role FROM conversations WHERE role IS DISTINCT FROM 'assistant' UNION ALL SELECT conv_id, turn, '', 'assistant' FROM u)
 SELECT conv_id, turn, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, turn AS order_turn, 0 AS level, 'ok' AS status,
-  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json
-FROM conversations
+  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json FROM m
+UNION ALL
+SELECT conv_id, turn, 'call', call, turn, level * 2 + 1, CASE WHEN NOT asks THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'ok' END,
+  '{"arguments":{' || CASE WHEN nth = 2 THEN '"hint":{"of":"${' || two_before || '}"},' ELSE '' END || '"length":' || length(text)
+  || CASE WHEN asks THEN ',"question":' ELSE ',"statement":' END || CAST(to_json(text) AS VARCHAR) || '},"id":"' || call || '","name":"answer","problems":'
+  || CASE WHEN asks THEN '[]' ELSE '["missing question","unknown statement"]' END || '}' FROM c
+UNION ALL
+SELECT a.conv_id, a.turn, 'result', a.call, a.turn, 0, CASE WHEN l.call IS NULL THEN 'orphan' ELSE 'ok' END,
+  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || a.call || '"}' FROM a LEFT JOIN l ON l.conv_id = a.conv_id AND l.call = a.call
 """
 
 

@@ -45,6 +45,17 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert json.loads(next(r.json for r in rows if r.conv_id == 1 and r.turn == 0 and r.kind == "message"))["content"] == 'say "hi"\n\t/é '
 
 
+def test_chains_place_calls_behind_those_they_wait_for(spark):
+    call = lambda i, *after: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}, "after": list(after)}]})
+    # A call of turn 1 waits for one of turn 30, and the end of a chain for all before.
+    rows = [(1, 1, "assistant", call("early", "late")), (1, 30, "assistant", call("late")), (1, 2, "tool", json.dumps({"tool_call_id": "early", "content": "x"}))]
+    rows += [(2, t, "assistant", call(f"c{t}", f"c{t - 1}", f"c{t // 2}", "gone")) for t in range(1, 13)] + [(None, 1, "assistant", call("c1", "c0"))]
+    got = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind != 'message'").collect()
+    place = {(r.conv_id, r.call_id, r.kind): (r.order_turn, r.level) for r in got}
+    assert place[(1, "late", "call")] < place[(1, "early", "call")] < place[(1, "early", "result")] and place[(1, "early", "call")][0] == 30
+    assert [place[(2, f"c{t}", "call")] for t in range(1, 13)] == [(t, 2 * t - 1) for t in range(1, 13)]
+
+
 def test_no_schemas_and_empty_tables(spark):
     messages, _ = chats(spark)
     assert {r.status for r in format_chats(messages).where("kind = 'call'").collect()} == {"ok", "unanswered", "cyclic", "repeated"}
