@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.partitions import spread
 from .components import components
 from .store import Scratch, batches_of, hashed_sample
 from .words import Words, as_array, byte_lengths, mix, slices, windows
@@ -279,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunks = chunks_for(distance)
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     longs = ", ".join(f"{x} long" for x in ["id", "n_shingles", "set_a", "set_b", *_SIGNS])
-    signed = scratch.write(source.mapInArrow(_signatures(shingle), longs), "signed")
+    signed = scratch.write(spread(source).mapInArrow(_signatures(shingle), longs), "signed")
     same_set = ["n_shingles", "set_a", "set_b"]
     named = signed.where("n_shingles > 0 AND id IS NOT NULL")
     # A class is a node of the graph of links; its number says nothing but which it is.

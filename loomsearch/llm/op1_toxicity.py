@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.partitions import spread
 from .store import Scratch, hashed_sample
 from .words import as_array, slices
 
@@ -205,7 +206,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     an empty table; further columns play no part and are not returned.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    source = spread(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")))
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     chosen = hashed_sample(known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")), TRAINING_ROWS, "id")
     training = scratch.write(source.join(F.broadcast(chosen), "id").select("text", "label").repartition(TRAINING_TASKS), "training")

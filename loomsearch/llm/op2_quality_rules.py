@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.partitions import spread
+
 #: ASCII white space, and the words between it.
 BLANKS = " \t\n\x0b\f\r"
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -100,7 +102,7 @@ def line_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     further columns, whatever their names, are carried in doc.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text.alias("text"))
+    held = spread(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text.alias("text")))
     split = held.select("doc", "text", split_words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias("lines"))
     length = F.length("text")
     judged = split.select(

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.partitions import spread
 from .store import Scratch, batches_of
 from .words import Words, as_array, mix, slices, windows
 
@@ -275,10 +276,10 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spread = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    blocks = scratch.write_bucketed(source.mapInArrow(_write_blocks(window, block_bytes(size)), "block long, n_windows long, body binary"), "blocks", "block", spread)
+    buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    blocks = scratch.write_bucketed(spread(source).mapInArrow(_write_blocks(window, block_bytes(size)), "block long, n_windows long, body binary"), "blocks", "block", buckets)
     total = blocks.agg(F.sum("n_windows")).first()[0] or 0
-    n_shards = max(spread, total // WINDOWS_PER_SHARD + 1)
+    n_shards = max(buckets, total // WINDOWS_PER_SHARD + 1)
     mail = "shard long, block long, body binary"
 
     def answered(mails: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.partitions import spread
 from .op2_quality_rules import settled, split_words
 
 #: A run of 16 key characters or more, one of them a digit.
@@ -181,7 +182,7 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
     """
     forest = forest or train_forest(labelled_findings(docs.sparkSession))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text.alias("text"))
+    held = spread(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), text.alias("text")))
     # Two quick searches spare most texts the two patterns.
     low, named = F.lower("text"), F.lit(False)
     for name in NAMES:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..sources.partitions import spread
 from .store import Scratch
 from .words import Words, as_array, slices
 
@@ -235,7 +236,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "packing")
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    source = spread(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")))
     pieces = scratch.write(source.mapInArrow(_tokenise(path, capacity, end_id), _PIECE_DDL), "pieces")
     by_task = scratch.write(pieces.groupBy("grp", "length").agg(F.count("*").alias("n")), "counts")
     groups = -(-(by_task.agg(F.sum("n")).first()[0] or 1) // PIECES)
