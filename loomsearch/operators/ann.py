@@ -72,7 +72,7 @@ def _score(k: int, dim: int):
         if not q.num_rows or not v.num_rows:
             return pa.table([q["qid"].slice(0, 0), v["id"].slice(0, 0), pa.array([], pa.float64())], names)
         scores = np.round(unit_rows(matrix(q["embedding"].chunk(0), dim)) @ unit_rows(matrix(v["embedding"].chunk(0), dim)).T, PLACES)
-        row, col = best_rows(scores, k)
+        row, col = best_rows(scores, k, v["id"])
         return pa.table([q["qid"].take(pa.array(row)), v["id"].take(pa.array(col)), pa.array(scores[row, col])], names)
 
     return run

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,20 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k highest of each row, and of what ties with the last."""
-    if scores.shape[1] > k:
-        last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        return np.nonzero(scores >= last)
-    return np.nonzero(np.ones_like(scores, bool))
+def best_rows(scores: np.ndarray, k: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest of each row; of columns that tie with the last one
+    those with the smallest ids."""
+    if scores.shape[1] <= k:
+        return np.nonzero(np.ones_like(scores, bool))
+    last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    kept = scores >= last
+    if (crowded := np.flatnonzero(kept.sum(axis=1) > k)).size:
+        by_id = pc.sort_indices(ids).to_numpy()
+        above = (scores > last).sum(axis=1)
+        for i in crowded:
+            ties = by_id[scores[i, by_id] == last[i, 0]]
+            kept[i, ties[k - above[i] :]] = False
+    return np.nonzero(kept)
 
 
 def id_type(df: DataFrame, name: str = "id") -> str:
@@ -53,7 +62,7 @@ def _search(qids: list, queries: np.ndarray, k: int):
             if not batch.num_rows:
                 continue
             scores = np.round(queries @ unit_rows(matrix(batch["embedding"], queries.shape[1])).T, PLACES)
-            q, v = best_rows(scores, k)
+            q, v = best_rows(scores, k, batch["id"])
             yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q]), batch["id"].take(pa.array(v)), pa.array(scores[q, v])], ["qid", "id", "score"])
 
     return run
