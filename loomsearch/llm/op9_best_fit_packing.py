@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,14 +92,17 @@ class TokenIds:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and the end)."""
         words = self._words(texts)
-        fresh = [w for w in words.vocabulary if w not in self.number]
-        if len(self.number) + len(fresh) > REMEMBERED:
+        own = np.array(list(map(self.number.get, words.vocabulary, repeat(-1))), np.int64)
+        new = np.flatnonzero(own < 0)
+        if len(self.number) + len(new) > REMEMBERED:
             self.forget()
-            fresh = words.vocabulary
-        if fresh:
-            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+            new = np.arange(len(own))
+        if len(new):
+            fresh, at = [words.vocabulary[i] for i in new.tolist()], len(self.number)
+            own[new] = np.arange(at, at + len(fresh))
+            self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
             self._learn(fresh)
-        own = np.array([self.number[w] for w in words.vocabulary], np.int64)[words.codes] if words.vocabulary else np.empty(0, np.int64)
+        own = own[words.codes]
         begin = self.first[own]
         counts = self.first[own + 1] - begin
         ends = np.cumsum(counts)

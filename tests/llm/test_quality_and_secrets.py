@@ -111,3 +111,16 @@ def test_a_run_counts_wherever_its_digit_stands(spark):
     late = "AbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGhIjKlMnOpQrStUvWxYzAbCdEfGhIjKlMnOpQrStUvWxYz7Qp2"
     found, plain = verdicts(spark, [f"the {late} here", f"the {late[:76]} here"])
     assert set(found[0]) == {late} and not plain[0]
+
+
+def test_precision_and_recall_on_documents(spark):
+    """Secrets of the corpus are told by a pattern that the operator does not know: all
+    documents are held out, as the forest has seen none of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    found = scan(docs).select("doc.doc_id", "doc.text", "findings").collect()
+    planted = {(r.doc_id, v) for r in found for v in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    called = {(r.doc_id, f.value) for r in found for f in r.findings if f.is_secret}
+    others = {(r.doc_id, v) for r in found for v in re.findall(r"(?<![0-9A-Za-z])[0-9]{16}(?![0-9A-Za-z])", r.text)}
+    assert len(planted) >= 10 and len(others) >= 20
+    assert len(planted & called) / len(planted) >= 0.95
+    assert len(planted & called) / len(called) >= 0.95 and not others & called
