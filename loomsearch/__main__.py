@@ -1,6 +1,6 @@
 """Command line: a worker, searches and the state of an engine's folder.
 
-    python -m loomsearch ROOT worker [--once] [--chunk-size N] [--chunk-overlap N]
+    python -m loomsearch ROOT worker [--once] [--chunk-size N] [--chunk-overlap N] [--worker I --workers N]
     python -m loomsearch ROOT search COLLECTION QUERY [--top-k N] [--alpha X]
     python -m loomsearch ROOT stats
     python -m loomsearch ROOT latency COLLECTION QUERY...
@@ -29,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     worker.add_argument("--once", action="store_true", help="stop when the inbox is empty")
     worker.add_argument("--chunk-size", type=int, default=512)
     worker.add_argument("--chunk-overlap", type=int, default=64)
+    worker.add_argument("--worker", type=int, default=0, help="the number of this worker")
+    worker.add_argument("--workers", type=int, default=1, help="how many there are")
     search = parts.add_parser("search", help="search a collection")
     search.add_argument("collection")
     search.add_argument("query")
@@ -46,7 +48,7 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> object:
     a = parser().parse_args(arguments)
     engine = Engine(spark, a.root)
     if a.command == "worker":
-        query = engine.work(a.once, chunk_size=a.chunk_size, chunk_overlap=a.chunk_overlap)
+        query = engine.work(a.once, a.worker, a.workers, chunk_size=a.chunk_size, chunk_overlap=a.chunk_overlap)
         if not a.once:  # the batch at hand is finished first
             signal.signal(signal.SIGTERM, lambda *_: query.stop())
         query.awaitTermination()

@@ -428,3 +428,29 @@ def test_jobs_count_a_batch_once_and_can_be_watched(spark, tmp_path):
 
     seen = [(j.status, j.done, j.errors) for j in jobs.watch(job.job_id, sleep=work)]
     assert seen == [("queued", 0, 0), ("running", 0, 0), ("running", 2, 0), ("running", 2, 1), (DONE_WITH_ERRORS, 3, 1)]
+
+
+def test_workers_share_the_collections_and_writers_wait(spark, tmp_path):
+    from loomsearch.sources.catalog import ConflictError, retried
+
+    engine = Engine(spark, str(tmp_path))
+    for i in range(4):
+        engine.create_collection(f"c{i}", "text", index_type="brute_force")
+        engine.bulk_ingest(f"c{i}", [{"id": f"{i}-{k}", "text": "some words"} for k in range(3)])
+    for worker in range(2):
+        engine.work(once=True, worker=worker, workers=2).awaitTermination()
+    assert [len(engine.collection(f"c{i}")) for i in range(4)] == [3] * 4
+    # Each collection was written by one worker, once.
+    assert all(engine.collection(f"c{i}").version == 1 for i in range(4))
+    c, waits = engine.collection("c0"), []
+    c.files.create(f"{c.folder}/claims/2", "")
+
+    def wait(seconds):
+        waits.append(seconds)
+        if len(waits) == 2:
+            c.files.delete(f"{c.folder}/claims/2")
+
+    retried(lambda: engine.collection("c0").add({"id": "x", "text": "y"}), sleep=wait)
+    assert waits == [1.0, 2.0] and len(engine.collection("c0")) == 4
+    with pytest.raises(ConflictError):
+        retried(lambda: c.add({"id": "z", "text": "y"}), tries=2, sleep=lambda _: None)
