@@ -5,32 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the product documents.
 ADJECTIVES = (
-    "wireless", "portable", "premium", "compact", "lightweight", "waterproof",
-    "ergonomic", "foldable", "rechargeable", "noise-cancelling", "high-fidelity",
-    "ultra-thin", "heavy-duty", "smart", "solar-powered", "voice-activated",
-    "multi-functional", "durable", "flexible", "magnetic",
+    "oak", "brass", "woollen", "enamelled", "hand-carved", "stackable", "fireproof", "quilted", "linen", "rustic",
+    "polished", "insulated", "wall-mounted", "double-walled", "braided", "frosted", "galvanised", "cushioned", "hollow", "tempered",
 )
 NOUNS = (
-    "headphones", "speaker", "keyboard", "mouse", "monitor", "webcam", "laptop",
-    "tablet", "charger", "cable", "stand", "hub", "earbuds", "microphone",
-    "camera", "drone", "watch", "bracelet", "backpack", "case",
-)
-BRANDS = (
-    "TechPro", "NovaBeat", "ZenCore", "AlphaWave", "PixelForge", "SonicBridge",
-    "AetherTech", "ClearVox", "DeltaSound", "OmegaLink",
-)
-CATEGORIES = (
-    "electronics", "audio", "computing", "accessories", "wearables",
-    "photography", "gaming", "office", "home", "outdoor",
+    "kettle", "lantern", "wheelbarrow", "blanket", "teapot", "bookshelf", "ladder", "hammock", "mirror", "toolbox",
+    "birdhouse", "saucepan", "doormat", "curtain", "workbench", "vase", "stool", "greenhouse", "thermos", "clock",
 )
+BRANDS = ("Harrowgate", "Linden & Co", "Millrace", "Fernhollow", "Quayside", "Bramblewick", "Stonefold", "Larkfield", "Tallow House", "Copperdale")
+CATEGORIES = ("kitchen", "garden", "bedroom", "workshop", "lighting", "storage", "dining", "hallway", "bathroom", "balcony")
 FEATURES = (
-    "with fast charging", "up to 40hr battery", "Bluetooth 5.3",
-    "USB-C compatible", "IP68 waterproof rating", "AI noise reduction",
-    "120Hz refresh rate", "dual microphone array", "multi-device pairing",
-    "foldable design", "under $50", "ideal for travel", "includes carry case",
-    "1-year warranty", "available in 5 colors",
+    "made from reclaimed timber", "dries within an hour", "three year guarantee", "fits most windows", "holds twelve litres", "comes flat-packed", "rust resistant",
+    "washable at sixty degrees", "with a leather strap", "spare parts included", "stands on uneven ground", "suits narrow rooms", "sold in pairs", "dimmable", "assembled by hand",
 )
 
 
