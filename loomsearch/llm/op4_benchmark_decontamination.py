@@ -29,7 +29,7 @@ from .store import Scratch, batches_of
 from .words import ALNUM, Words, as_array, slices
 
 BLOCK_BYTES = 8 << 20
-#: Bytes of test items in one broadcast; twice that is the most that is ever sent.
+#: Bytes of test items in one broadcast, about: items are dealt by their hash and whole.
 ITEM_BYTES = 8 << 20
 
 _ARRAYS = (("ids_null", np.uint8), ("ids", np.int64), ("first", np.int64), ("terms", np.uint64), ("ends", np.uint32), ("positions", np.uint32))
@@ -190,10 +190,11 @@ def write_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     return scratch.write(source.mapInArrow(_build_index, ddl), "index", compression="none")
 
 
-def search_index(index: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, window: int, proximity: int | None = None, with_texts: bool = False) -> DataFrame:
+def search_index(index: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, window: int, proximity: int | None = None, with_texts: bool = False, sent: list | None = None) -> DataFrame:
     """Matches of the items' windows: one row per text, item and kind, with the spans
     of words that match (phrase: a window word for word; proximity: all words of a
-    window within so many words of its rarest one, in any order)."""
+    window within so many words of its rarest one, in any order). sent: takes the broadcasts,
+    which may be destroyed once the result is written."""
     spark = index.sparkSession
     own = items.select(items[item_id_col].cast("string").alias("item"), items[item_text_col].cast("string").alias("text")).where("item IS NOT NULL")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -201,6 +202,8 @@ def search_index(index: DataFrame, items: DataFrame, item_id_col: str, item_text
     for i in range(blocks):
         part = own.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect()
         phrases = spark.sparkContext.broadcast(Phrases([r.item for r in part], [r.text for r in part], window))
+        if sent is not None:
+            sent.append(phrases)
         rows = index.mapInArrow(_search(phrases, proximity, with_texts and i == 0), _MATCH_DDL)
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -233,9 +236,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     scratch = Scratch(docs.sparkSession, "contamination")
     index = write_index(docs, scratch, id_col, text_col)
     with batches_of(docs.sparkSession, 4):
-        found = search_index(index, items, item_id_col, item_text_col, window, with_texts=True)
+        sent: list = []
+        found = search_index(index, items, item_id_col, item_text_col, window, with_texts=True, sent=sent)
         by_text = found.groupBy("block", "row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.collect_set("item").alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
         written = scratch.write(by_text, "result")
+    for phrases in sent:
+        phrases.destroy()
     scratch.drop("index")
     n_hit = _covered(F.col("spans"))
     return written.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), F.sort_array("spans").alias("spans"), (n_hit > 0).alias("contaminated"))
