@@ -21,11 +21,14 @@ SPLIT = r"[\x20\x09-\x0D]+"
 #: going back, so that time is linear in the line however long its words are.
 ODD_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>{}]*+[#*$%&|<>{}]"
 
-#: Phrases of lines that are the same on every page.
+#: Phrases of lines that are the same on every page, in four languages.
 BOILERPLATE = (
     "all rights reserved", "copyright (c)", "©", "licensed under", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "use of cookies", "subscribe to", "sign up for", "log in to", "click here", "enable javascript",
     "javascript is disabled", "lorem ipsum", "powered by", "back to top",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "newsletter abonnieren", "zum seitenanfang",
+    "tous droits réservés", "politique de confidentialité", "conditions d’utilisation", "mentions légales", "haut de page",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "volver arriba",
 )
 #: A line shorter than this that ends no sentence is a fragment.
 FRAGMENT_WORDS = 8
