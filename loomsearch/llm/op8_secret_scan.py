@@ -2,7 +2,7 @@
 
 Candidates are long runs of key characters that hold a digit, and values assigned to a
 name such as token or password. A forest of decision trees on the candidate's length,
-character transitions, dictionary coverage, path marks and neighbouring words tells
+character transitions, dictionary coverage, path and neighbouring words tells
 secrets from digests, identifiers, paths and placeholders. It is trained in this
 module from labelled findings and turned into one column expression, so scanning a
 corpus is a single pass of built-in functions without a shuffle.
@@ -39,6 +39,9 @@ LINK = r"^[\"']?\s?[:=]?\s?[\"']?$"
 NAMES = ("token", "secret", "passw", "key", "credential")
 TELLING = r"(?i)(token|secret|passw|api[_\-]?key|credential|bearer|auth|private|access)"
 HARMLESS = r"(?i)(commit|sha1|sha256|md5|digest|checksum|hash|etag|uuid|guid|revision|version|build|order|invoice|card|phone|isbn|example|sample|dummy|page|figure)"
+#: Places in a path where there are samples rather than keys, and where keys are kept.
+SAMPLE_PATH = r"(?i)(^|[/_.\-])(tests?|specs?|fixtures?|mocks?|examples?|samples?|docs?|vendor|locale)([/_.\-]|$)"
+KEPT_PATH = r"(?i)(\.env|\.pem|\.key|\.ini|\.ya?ml|\.properties|\.tfvars)$|(^|[/_.\-])(config|deploy|secrets?|settings|credentials?)([/_.\-]|$)"
 #: Words that make up names, placeholders and paths rather than keys.
 DICTIONARY = (
     "access", "account", "admin", "allow", "api", "app", "auth", "backup", "bin", "build", "cache", "change", "check", "class", "client", "code", "common",
@@ -51,13 +54,14 @@ DICTIONARY = (
     "style", "system", "table", "task", "temp", "template", "test", "text", "time", "title", "token", "type", "update", "upload", "url", "user", "usr", "value",
     "var", "version", "video", "view", "web", "work", "xml", "your",
 )
-FEATURES = ("n_chars", "letter_digit", "case_change", "digit_share", "letter_kinds", "digit_kinds", "hex_only", "digits_only", "covered", "path_marks", "dashes", "repeats", "told", "harmless", "assigned")
+FEATURES = ("n_chars", "letter_digit", "case_change", "digit_share", "letter_kinds", "digit_kinds", "hex_only", "digits_only", "covered", "path_marks", "dashes", "repeats", "told", "harmless", "assigned", "sample_path", "kept_path")
 #: Labelled findings that the forest is trained on, and its size.
 FINDINGS, TREES, DEPTH, SEED = 6000, 15, 7, 8
 
 
-def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
-    """The forest's features of a candidate and the words beside it."""
+def features(value: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
+    """The forest's features of a candidate, the words beside it and the path of its
+    file, '' where none is known."""
     n = F.length(value)
     low = F.lower(value)
     letters = F.regexp_replace(low, "[^a-z]", "")
@@ -87,11 +91,13 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "told": F.regexp_like(F.coalesce(before, F.lit("")), F.lit(TELLING)).cast("double"),
         "harmless": F.regexp_like(beside, F.lit(HARMLESS)).cast("double"),
         "assigned": F.regexp_like(F.coalesce(before, F.lit("")), F.lit(r"[:=]\s*[\"']?$")).cast("double"),
+        "sample_path": F.regexp_like(path, F.lit(SAMPLE_PATH)).cast("double"),
+        "kept_path": F.regexp_like(path, F.lit(KEPT_PATH)).cast("double"),
     }
 
 
 def labelled_findings(spark: SparkSession) -> DataFrame:
-    """FINDINGS findings (value, before, after, label) made by rule: keys of several
+    """FINDINGS findings (value, before, after, path, label) made by rule: keys of several
     forms where keys stand, and digests, identifiers, paths, names and placeholders
     where those stand. Every value is a function of its row number."""
     i = F.col("id")
@@ -127,10 +133,15 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         (F.concat(pick(11, "your-", "example_", "my_", "test-"), words(50, "_", 2), F.lit("123")), told, 0),
         (F.concat(words(60, "", 3), tail), prose, 0),
     ]
+    # Most texts have no path, and a path alone decides nothing.
+    paths = {
+        1: ("", "", "", "src/client.py", "config/app.yml", "deploy/.env", "lib/net/session.js", "tests/test_login.py"),
+        0: ("", "", "", "src/client.py", "tests/fixtures/answers.json", "docs/example.md", "lib/net/session.js", "config/app.yml"),
+    }
     form = F.pmod(F.xxhash64(i, F.lit(12)), F.lit(len(forms)))
     row = F.lit(None)
     for k, (value, before, label) in enumerate(forms):
-        this = F.struct(value.alias("value"), before.alias("before"), pick(13, "and the", "of", "\" in", "").alias("after"), F.lit(label).cast("double").alias("label"))
+        this = F.struct(value.alias("value"), before.alias("before"), pick(13, "and the", "of", "\" in", "").alias("after"), pick(14, *paths[label]).alias("path"), F.lit(label).cast("double").alias("label"))
         row = F.when(form == k, this).otherwise(row)
     return spark.range(FINDINGS).select(row.alias("x")).select("x.*")
 
@@ -162,18 +173,19 @@ def _as_column(dump: str, inputs: list[Column]) -> list[Column]:
 
 def train_forest(findings: DataFrame) -> str:
     """The printed form of a random forest trained on labelled findings (value,
-    before, after, label)."""
-    wide = findings.select("label", *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after")).items()])
+    before, after, path, label)."""
+    wide = findings.select("label", *[c.alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("after"), F.col("path")).items()])
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(wide).select("label", "features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(rows.repartition(2))
     return forest.toDebugString
 
 
-def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None, path_col: str | None = None) -> DataFrame:
     """Candidates of every document with the forest's verdict.
 
     forest: the printed form of a trained forest; without it one is trained on
-    labelled_findings(). Returns one row per input row: doc (the input row as a
+    labelled_findings(). path_col: the column with the path of a document's file; null
+    or without it, no path is known. Returns one row per input row: doc (the input row as a
     struct) and findings, an array of (word, value, score, is_secret) in text order:
     the number of the word it stands in, the candidate, the share of trees that vote
     secret, and score >= 0.5. A null, empty or clean text has an empty array; repeated
@@ -219,8 +231,10 @@ def scan(docs: DataFrame, text_col: str = "text", forest: str | None = None) ->
     candidates = F.transform(F.array("words"), lambda ws: F.flatten(F.transform(ws, lambda w, i: of_word(ws, w, i))))
     found = split.select("doc", F.get(candidates, F.lit(0)).alias("found"))
 
+    path = F.lit("") if path_col is None else F.coalesce(F.col("doc")[path_col].cast("string"), F.lit(""))
+
     def judged(x: Column) -> Column:
-        columns = features(x["value"], x["before"], x["after"])
+        columns = features(x["value"], x["before"], x["after"], path)
         wide = F.struct(*[columns[k].alias(k) for k in FEATURES])
 
         def vote(f: Column) -> Column:

@@ -93,7 +93,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate of every document, with the forest's verdict."""
-    found = scan(_table(spark, sf_dir, "documents")).select("doc.doc_id", F.posexplode("findings").alias("finding", "f"))
+    found = scan(_table(spark, sf_dir, "documents"), path_col="source").select("doc.doc_id", F.posexplode("findings").alias("finding", "f"))
     return found.select("doc_id", "finding", F.col("f.word").alias("word"), F.length("f.value").alias("length"), F.sha2("f.value", 256).alias("value_sha256"), F.col("f.score").alias("score"), F.col("f.is_secret").alias("is_secret"))
 
 
