@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by a mark; no document goes."""
-    found = scan(docs.select(COLUMNS))
+    found = scan(docs.select(COLUMNS), path_col="source")
     return _with_text(found.select("doc", redact(F.coalesce("doc.text", F.lit("")), F.col("findings")).alias("text")))
 
 
@@ -77,6 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
     return docs
