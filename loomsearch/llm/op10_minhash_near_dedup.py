@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ..sources.partitions import spread
 from .components import components
 from .store import Scratch, batches_of, hashed_sample
-from .words import Words, as_array, byte_lengths, mix, slices, windows
+from .words import Words, as_array, byte_lengths, give_back, mix, slices, windows
 
 COMPONENTS, LANES = 32, 8
 #: Share of pairs at the very threshold that may exceed the searched distance.
@@ -186,6 +186,7 @@ def _pairs_of_sets(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[
             sets = _sets(left.slice(first, last - first).filter(pa.array(own)), n)
             yield batch.slice(first, last - first), [sets[i] for i in np.cumsum(own) - 1], _sets(right.slice(first, last - first), n)
             first = last
+    give_back()
 
 
 def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 
 from ..sources.partitions import spread
 from .store import Scratch
-from .words import Words, as_array, slices
+from .words import Words, as_array, give_back, slices
 
 #: Distinct words whose ids a worker remembers; beyond it starts afresh.
 REMEMBERED = 1_000_000
@@ -167,6 +167,8 @@ def _tokenise(path: str, capacity: int, end_id: int):
                         seen[len(part)] += 1
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
+        del encode
+        give_back()
 
     return run
 

@@ -8,7 +8,10 @@ dictionary-encoded once per batch and every distinct word is hashed once with a
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +71,15 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, as a worker outlives its task and stands by
+    while other steps need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every system's library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def byte_lengths(texts: pa.Array) -> np.ndarray:
     """UTF-8 bytes of each text."""
     return np.diff(_offsets(texts))
