@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -244,15 +244,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     source = spread(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")))
     pieces = scratch.write(source.mapInArrow(_tokenise(path, capacity, end_id), _PIECE_DDL), "pieces")
-    by_task = scratch.write(pieces.groupBy("grp", "length").agg(F.count("*").alias("n")), "counts")
-    groups = -(-(by_task.agg(F.sum("n")).first()[0] or 1) // PIECES)
+    groups = -(-max(pieces.count(), 1) // PIECES)
     rounds = 0
     while FAN_IN**rounds < groups:
         rounds += 1
-    # The nth piece of a length goes to the nth partition from one given by the length.
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("grp")) - F.col("n")
-    ranked = pieces.join(by_task.select("grp", "length", before.alias("before")), ["grp", "length"])
-    dealt = ranked.withColumn("grp", F.pmod(F.xxhash64("length") + F.col("before") + F.col("nth"), F.lit(groups)))
+    # A task's nth piece of a length goes to the nth partition from one given by the hash
+    # of the two: of each length all partitions get equally many, but for one a task.
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("grp", "length") + F.col("nth"), F.lit(groups)))
     packed = scratch.write(dealt.groupBy("grp").applyInArrow(_pack_partition(capacity, rounds), _PACKED_DDL), "packed")
     underfull = packed.where("open AND offset = 0").select("bin", F.col("bin").alias("host"), F.lit(0).cast("long").alias("shift"), "fill", "grp", "open")
     moved = None
