@@ -56,7 +56,7 @@ SAMPLED_PAIRS, FREQUENT = 2_000, 100_000
 #: once, and rows of a batch of pairs: bounds of its memory.
 PAIR_BYTES, DIFFERENCES, PAIRS_PER_BATCH = 2 << 20, 200_000, 256
 #: Texts and pairs that a task writes or compares at once.
-TEXTS_PER_FILE, PAIRS_PER_FILE = 20_000, 4_000
+TEXTS_PER_FILE, PAIRS_PER_FILE = 5_000, 4_000
 
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = classes.select("node", *_SIGNS).mapInArrow(_keys(chunks), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.write(keys.join(shared, "key"), "met", n * COMPONENTS, 4_000_000)
+    met = scratch.write(keys.join(shared, "key"), "met", n * COMPONENTS, 500_000)
     n_met = met.count()
     degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = scratch.write(met.select("key", "node").join(degree, "node"), "ranked", n_met)
