@@ -114,6 +114,9 @@ def build_index(docs: DataFrame, stemming: bool = True) -> KeywordIndex:
     sized = dealt.select("id", "tokens", F.size("tokens").alias("dl"))
     # From a plain explode the optimizer would infer a filter that analyses texts twice.
     exploded = sized.select("id", "dl", F.explode_outer("tokens").alias("word")).where("word IS NOT NULL")
-    exploded = stem_rows(exploded, "word", "term") if stemming else exploded.withColumnRenamed("word", "term")
-    postings = exploded.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+    # A word is stemmed once for each document, not each time it stands there; documents
+    # lie whole in their partition, so neither count moves rows.
+    counted = exploded.groupBy("id", "word").agg(F.count("*").alias("n"), F.first("dl").alias("dl"))
+    stemmed = stem_rows(counted, "word", "term") if stemming else counted.withColumnRenamed("word", "term")
+    postings = stemmed.groupBy("id", "term").agg(F.sum("n").cast("int").alias("tf"), F.first("dl").alias("dl"))
     return KeywordIndex(postings.select("term", "id", "tf", "dl"), sized.select("id", "dl"), stemming)

@@ -187,7 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_missing": "SELECT event_id AS id, event_type FROM events WHERE event_type IS DISTINCT FROM 'click'",
         "filter_unknown": f"SELECT {_DOC} FROM documents",
         "filter_json": "SELECT event_id AS id, user_id FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 50 AND user_id >= 0",
-        "filter_cross_type": "SELECT event_id AS id, event_type FROM events WHERE user_id >= 500 AND event_type < 'd'",
+        "filter_cross_type": "SELECT event_id AS id, event_type FROM events WHERE user_id >= 50 AND event_type < 'd'",
         "chunk_fixed": _chunks(512, 64, 20),
         "chunk_small": _chunks(50, 10, 20),
         "page_docs": f"SELECT {_DOC} FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100",

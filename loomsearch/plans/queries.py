@@ -271,7 +271,7 @@ def filter_json(spark, sf_dir):
 def filter_cross_type(spark, sf_dir):
     """A number is never above or below a text, nor a text within a number."""
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.try_parse_json(F.concat(F.lit('{"n":'), F.col("user_id"), F.lit(',"t":"'), F.col("event_type"), F.lit('"}'))).alias("doc"))
-    either = predicate({"t": {"$gte": 0}}, VariantFields("doc")) | predicate({"n": {"$gte": 500}, "t": {"$lt": "d"}}, VariantFields("doc"))
+    either = predicate({"t": {"$gte": 0}}, VariantFields("doc")) | predicate({"n": {"$gte": 50}, "t": {"$lt": "d"}}, VariantFields("doc"))
     return events.where(either).drop("doc")
 
 

@@ -369,6 +369,10 @@ def test_segments_hold_what_is_new_and_are_merged(spark, tmp_path, monkeypatch):
     assert next(r["id"] for r in c.search("x", p.embed_one("turn 0 number 3 common"), alpha=1.0, k=1)) == "d03"
     # Places are kept from the first insertion on, through replacements and merges.
     assert c.list_docs(1)[0][0]["id"] == "d00"
+    for i in range(1, 6):
+        assert c.delete(f"d6{i}") and len(c.state.gone) <= 4
+        del want[f"d6{i}"]
+    assert {i: t for i, _, t in plain(c)} == want
     before = plain(c)
     c.compact()
     assert plain(c) == before and len(c.state.segments) == 1 and "d03" in c and "d11" not in c
