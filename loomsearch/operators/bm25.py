@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unique_terms
+from ..sources.partitions import local_table
 from .postings import KeywordIndex, idf
 
 K1, B = 1.5, 0.75
@@ -38,7 +39,7 @@ def bm25_scores(queries: DataFrame, index: KeywordIndex, k1: float = K1, b: floa
     if len(first) <= MOST_TERMS:
         index_terms = index.of_terms(sorted({r["term"] for r in first}))
         postings = index_terms.postings
-        terms = F.broadcast(queries.sparkSession.createDataFrame(first, terms.schema))
+        terms = F.broadcast(local_table(queries.sparkSession, first, terms.schema))
     one_row = F.broadcast(index.statistics())
     weighed = terms.join(index_terms.terms(), "term").join(one_row, how="cross").select("qid", "term", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
     if len(first) <= MOST_TERMS:
