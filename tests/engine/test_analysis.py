@@ -156,3 +156,19 @@ def test_vector_functions(spark):
         normalised(F.col("a")).alias("n"), normalised(F.col("z")).alias("nz"), cosine(F.col("a"), F.col("z")).alias("c"), cosine(F.col("a"), F.col("a")).alias("s"), cosine_distance(F.col("a"), F.col("a")).alias("d")
     ).first()
     assert row.n == [0.6, 0.8] and row.nz == [0.0, 0.0] and row.c == 0 and row.s == pytest.approx(1) and row.d == pytest.approx(0)
+
+
+def test_small_tables(spark, tmp_path):
+    from loomsearch.sources.partitions import local_table, spread
+
+    ddl = "qid long, text string, embedding array<float>"
+    rows = local_table(spark, [(1, "a", [1.0, 2.0]), (2, None, None)], ddl)
+    assert [tuple(r) for r in rows.orderBy("qid").collect()] == [(1, "a", [1.0, 2.0]), (2, None, None)]
+    assert local_table(spark, [], ddl).collect() == [] and local_table(spark, [], ddl).schema == rows.schema
+    # One file of four megabytes: read by one task, dealt to several.
+    spark.range(500_000).selectExpr("id", "uuid() AS x").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts(spread(one)) == 8 and spread(one).count() == 500_000
+    many = one.repartition(9)
+    assert spread(many) is many and spread(one.limit(3)).count() == 3 and spread(one.limit(0)).count() == 0
